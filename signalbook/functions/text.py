@@ -62,16 +62,28 @@ def any_of(*patterns: str) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
 def char_trigrams(c) -> Column:
     """Distinct three-character windows of the normalized text; empty below three characters."""
-    t = normalized(c)
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(F.length(t) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(normalized(c), F.lit("(?s)(.)"), F.lit(1))
+
+    def windows(x):
+        starts = F.slice(x, F.lit(1), F.greatest(F.size(x) - 2, F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda ch, i: F.concat(ch, F.get(x, i + 1), F.get(x, i + 2))))
+
+    return bind(chars, windows)
 
 
 def jaccard(a, b) -> Column:
     """Intersection over union of two sets; 0.0 when either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / union
-    )
+
+    def ratio(s):
+        both = F.size(F.array_intersect(s["a"], s["b"]))
+        sizes = F.size(s["a"]) + F.size(s["b"])
+        return F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(both / (sizes - both))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), ratio)

@@ -1 +1,8 @@
+"""Registered queries, one module per area."""
 
+
+def all_plans():
+    """Import every plan module and return the catalog they fill."""
+    from signalbook.plans import catalog, corpus, evaluation  # noqa: F401
+
+    return catalog
