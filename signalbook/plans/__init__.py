@@ -3,6 +3,6 @@
 
 def all_plans():
     """Import every plan module and return the catalog they fill."""
-    from signalbook.plans import catalog, corpus, evaluation  # noqa: F401
+    from signalbook.plans import catalog, corpus, evaluation, network  # noqa: F401
 
     return catalog

@@ -264,15 +264,19 @@ def worst_best(spark, sf):
 
 
 # --- comparison of three model runs -----------------------------------------------------------
-def _run(spark, sf, lag):
-    """Scores of one run: the document's share of a label-like pattern, shifted per run."""
-    d = table(spark, sf, "documents")
-    return d.filter(F.col("doc_id") % 11 != lag).select(
-        F.col("doc_id").alias("id"), (((F.col("n_chars") + F.col("doc_id") * lag) % 21) / 20).alias("score"))
-
-
-def _run_sql(lag):
-    return f"SELECT doc_id AS id, ((n_chars + doc_id * {lag}) % 21) / 20 AS score FROM documents WHERE doc_id % 11 <> {lag}"
+def _run(spark, sf, run):
+    """Scores of a run by id: run 1 covers all documents, runs 2 and 3 the labelled ones."""
+    if run == 1:
+        return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 21) / 20).alias("score"))
+    mark = "quality" if run == 2 else "toxic"
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), ((F.col(mark) * 10 + F.col("doc_id") % 11) / 20).alias("score"))
+
+
+def _run_sql(run):
+    if run == 1:
+        return "SELECT doc_id AS id, (n_chars % 21) / 20 AS score FROM documents"
+    return f"SELECT doc_id AS id, ({'quality' if run == 2 else 'toxic'} * 10 + doc_id % 11) / 20 AS score FROM labels"
 
 
 def _diff_sql(a, b, name):
