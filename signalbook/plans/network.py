@@ -52,7 +52,8 @@ def events(spark, sf):
 
 def kpi(spark, sf):
     e = events(spark, sf)
-    metrics = {m: net.clamp_kpi(m, F.col("value") * F.lit(f) + F.lit(o)) for m, (f, o) in METRICS.items()}
+    # Only counts are rounded here; the other metrics are compared before presentation rounding.
+    metrics = {m: net.clamp_kpi(m, F.col("value") * F.lit(f) + F.lit(o), digits=net.KPI_LIMITS[m][2] == 0) for m, (f, o) in METRICS.items()}
     return e.select("event_id", "cell_id", "site_id", "ts", F.hour("ts").alias("hour"), "value", *[v.alias(m) for m, v in metrics.items()])
 
 
@@ -105,7 +106,7 @@ def _metric_sql(m):
         x = f"least({x}, {high}::DOUBLE)"
     if low is not None:
         x = f"greatest({x}, {low}::DOUBLE)"
-    return f"round({x}, {scale}) AS {m}"
+    return f"round({x}, 0) AS {m}" if scale == 0 else f"{x} AS {m}"
 
 
 NET_SQL = f"""
@@ -144,9 +145,9 @@ def region_cells(spark, sf):
     return found.select("cell_id", found.agg(F.count(F.lit(1))).scalar().alias("n"))
 
 
-@query("f27_clamp_kpi", f"{W} SELECT event_id, cell_id, {', '.join(METRICS)} FROM kpi")
+@query("f27_clamp_kpi", f"{W} SELECT event_id, cell_id, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM kpi")
 def clamp(spark, sf):
-    return kpi(spark, sf).select("event_id", "cell_id", *METRICS)
+    return kpi(spark, sf).select("event_id", "cell_id", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
 @query("c8_flag_anomalies", f"{W} SELECT event_id, hour, anomaly, anomaly_severity FROM flagged")

@@ -30,18 +30,20 @@ def local_session(app: str = "signalbook", cpus: int | str | None = None) -> Spa
     )
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage through a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; local sessions without that
+    setting get one of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="signalbook-")
+
 
-    The folder is the shared one the session names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
-    """
+def materialize(df):
+    """Compute ``df`` once and cut its lineage through a reliable checkpoint."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="signalbook-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -47,6 +47,10 @@ def compare(spark, con, fn, sql, sf_dir):
     t2 = time.time()
     if sorted(names) != sorted(df.columns):
         return (f"columns {sorted(df.columns)} != {sorted(names)}", len(got), t1 - t0, t2 - t1)
+    kinds = lambda cols, rows: {c: {type(r[i]).__name__ for r in rows if r[i] is not None} for i, c in enumerate(cols)}
+    ka, kb = kinds(df.columns, got), kinds(names, want)
+    if got and want and ka != kb:
+        return (f"types { {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]} }", len(got), t1 - t0, t2 - t1)
     a, b = canonical(df.columns, got), canonical(names, want)
     problem = None
     if len(a) != len(b):
