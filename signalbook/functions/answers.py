@@ -86,9 +86,16 @@ def key_concepts(choice: Column, explanation: Column, stopwords=None, limit: int
 
 
 def concept_coverage(answer: Column, concepts: Column) -> Column:
-    """Struct of score, found and missing concepts by substring search; no concepts give 0."""
-    low = F.lower(answer)
-    found = F.filter(concepts, lambda c: F.contains(low, c))
-    missing = F.filter(concepts, lambda c: ~F.contains(low, c))
-    score = F.when(F.size(concepts) == 0, F.lit(0.0)).otherwise(F.size(found) / F.greatest(F.size(concepts), F.lit(1)))
-    return F.struct(score.alias("score"), found.alias("found"), missing.alias("missing"))
+    """Struct of score, found and missing concepts (distinct) by substring search; none give 0."""
+
+    def cover(x):
+        found = F.filter(x["concepts"], lambda c: F.contains(x["low"], c))
+        return F.struct(x["concepts"].alias("concepts"), found.alias("found"))
+
+    def result(x):
+        n = F.size(x["concepts"])
+        score = F.when(n == 0, F.lit(0.0)).otherwise(F.size(x["found"]) / F.greatest(n, F.lit(1)))
+        missing = F.array_except(x["concepts"], x["found"])
+        return F.struct(score.alias("score"), x["found"].alias("found"), missing.alias("missing"))
+
+    return bind(bind(F.struct(F.lower(answer).alias("low"), concepts.alias("concepts")), cover), result)

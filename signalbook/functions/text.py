@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character that counts as white space at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c) -> Column:
     """Remove all leading and trailing white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
+    return F.rtrim(c, F.lit(WHITESPACE))
 
 
 def words(c) -> Column:

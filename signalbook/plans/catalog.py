@@ -24,5 +24,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows are worked on with costly expressions, and their keys.
+ROW_KEYS = {
+    "documents": ["doc_id"], "conversations": ["conv_id", "turn"], "events": ["event_id"],
+    "orders": ["o_orderkey"], "embeddings": ["vec_id"], "pages": ["page_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *ROW_KEYS[name]) if name in ROW_KEYS else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute an input that splits into fewer parts than there are cores.
+
+    Inputs of many splits, as all large ones are, stay as they are and cause no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

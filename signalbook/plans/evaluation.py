@@ -140,16 +140,12 @@ def first_n(spark, sf):
 
 # --- concept coverage: every document answers one held-out item -------------------------------
 def _concepts(spark, sf):
-    b = table(spark, sf, "benchmark")
-    d = table(spark, sf, "documents")
-    stop = F.instr("item", ".")
-    return (
-        d.join(b.withColumnRenamed("text", "item"), F.col("doc_id") % 40 == F.col("item_id"))
-        .select(F.col("doc_id").alias("row_id"), F.col("lang").alias("subject"), F.col("text").alias("answer"),
-                F.substring("item", F.lit(1), stop).alias("choice"), F.substring("item", stop + 1, F.length("item")).alias("explanation"))
-        .withColumn("concepts", ans.key_concepts(F.col("choice"), F.col("explanation")))
-        .withColumn("coverage", ans.concept_coverage(F.col("answer"), F.col("concepts")))
-    )
+    stop = F.instr("text", ".")
+    choice, rest = F.substring("text", F.lit(1), stop), F.substring("text", stop + 1, F.length("text"))
+    items = table(spark, sf, "benchmark").select("item_id", ans.key_concepts(choice, rest).alias("concepts"))
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("lang").alias("subject"), F.col("text").alias("answer"), (F.col("doc_id") % 40).alias("item_id"))
+    return d.join(items, "item_id").withColumn("coverage", ans.concept_coverage(F.col("answer"), F.col("concepts")))
 
 
 _STOP = "[" + ", ".join(sql_text(w) for w in rules.CONCEPT_STOPWORDS) + "]"
