@@ -10,6 +10,7 @@ from signalbook.functions.text import contains_any, count_matches, matches
 from signalbook.operators.dedup import exact_dups
 from signalbook.operators.profile import length_profile
 from signalbook.operators.similarity import near_dups
+from signalbook.session import materialize
 
 
 def marker_count(c: Column, markers: list[str]) -> Column:
@@ -102,8 +103,8 @@ def gate_metrics(
         F.array_max(counts).alias("max_topic"), F.array_min(counts).alias("min_topic"),
         (parse_errors if parse_errors is not None else F.lit(0)).cast("long").alias("parse_errors"),
     )
-    exact = exact_dups(valid, row, question)
-    near = near_dups(valid, threshold, window, row, question)
+    exact = materialize(exact_dups(valid, row, question))
+    near = materialize(near_dups(valid, threshold, window, row, question))
     removed = exact.select("dup_row").union(near.select("row_i")).agg(
         F.count_distinct("dup_row").alias("n_removed")
     )
