@@ -187,7 +187,7 @@ def correlate_changes(alarm_rows: DataFrame, changes: DataFrame, within_seconds:
     """Latest change on the alarm's cell at most ``within_seconds`` before it was raised.
 
     Both tables are merged into one time line per cell and the last change is carried forward, in
-    day buckets: no pairs of alarms and changes are formed, and a busy cell is spread over its days.
+    hour buckets: no pairs of alarms and changes are formed, and a busy cell is spread over its hours.
     """
     line = alarm_rows.select(
         F.col("affected_element").alias("cell"), F.col("raised_time").alias("at"), F.lit(1).alias("kind"), "alarm_id",
@@ -196,7 +196,7 @@ def correlate_changes(alarm_rows: DataFrame, changes: DataFrame, within_seconds:
     ).unionByName(changes.select(
         F.col("cell_id").alias("cell"), F.col("time").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("alarm_id"),
         F.struct("time", "param", "change_id").alias("change"), F.col("change_id").alias("seq")))
-    carried = running(line, ["cell"], ["at", "kind", "seq"], F.to_date("at"), lasts={"last_change": F.col("change")})
+    carried = running(line, ["cell"], ["at", "kind", "seq"], F.date_trunc("hour", "at"), lasts={"last_change": F.col("change")})
     age = F.timestamp_diff("SECOND", F.col("last_change.time"), F.col("at"))
     return carried.filter((F.col("kind") == 1) & (age <= within_seconds)).select(
         "alarm_id", "cell", "last_change.change_id", "last_change.param", age.alias("age_seconds"))

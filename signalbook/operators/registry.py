@@ -36,10 +36,10 @@ def agent_usage(runs: DataFrame) -> DataFrame:
 def promotions(runs: DataFrame) -> DataFrame:
     """(agent_id, promoted_at_run): first run after which uses and success rate both suffice.
 
-    Later failures never take a promotion back. Runs are scanned in day buckets per agent.
+    Later failures never take a promotion back. Runs are scanned in hour buckets per agent.
     """
     counted = running(
-        runs, ["agent_id"], ["created_at", "run_id"], F.to_date("created_at"),
+        runs, ["agent_id"], ["created_at", "run_id"], F.date_trunc("hour", "created_at"),
         sums={"uses": F.lit(1), "wins": F.col("success").cast("int")})
     enough = (F.col("uses") >= rules.MIN_USES_FOR_PROMOTION) & (F.col("wins") / F.col("uses") >= rules.MIN_SUCCESS_RATE_FOR_PROMOTION)
     return counted.filter(enough).groupBy("agent_id").agg(F.min("uses").alias("promoted_at_run"))

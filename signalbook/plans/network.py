@@ -71,8 +71,8 @@ def alarms(spark, sf):
     """Error events raise alarms; the next other event of the cell clears them."""
     e = events(spark, sf).withColumns({"_back": -F.unix_micros(F.col("ts").cast("timestamp")), "_id": -F.col("event_id")})
     later = F.when(F.col("event_type") != "error", F.col("ts"))
-    day = F.floor(F.col("_back") / 86_400_000_000)
-    e = running(e, ["cell_id"], ["_back", "_id"], day, lasts={"cleared_time": later})
+    hour = F.floor(F.col("_back") / 3_600_000_000)
+    e = running(e, ["cell_id"], ["_back", "_id"], hour, lasts={"cleared_time": later})
     kinds = F.array(*[F.lit(t) for t in ALARM_TYPES])
     kind = F.get(kinds, F.col("k") % 5)
     return e.filter(F.col("event_type") == "error").select(
