@@ -59,7 +59,11 @@ def running(
 
 
 def span_bucket(col: str, rows: int = 65536) -> Column:
-    """Bucket of a unique integer key: at most ``rows`` rows each."""
+    """Bucket of a unique integer key: at most ``rows`` rows each, whatever the distribution.
+
+    Meant for row numbers as the readers assign them; very sparse ids give many small buckets, so
+    number such rows first.
+    """
     return F.floor(F.col(col) / F.lit(rows)).cast("long")
 
 

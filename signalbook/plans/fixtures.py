@@ -104,7 +104,8 @@ def strip_sql(x: str) -> str:
 
 # --- source groups of documents -------------------------------------------------------------
 def new_and_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of odd-numbered sources are new, those of even-numbered sources the base."""
+    """Documents of odd-numbered sources form the new corpus, those of even-numbered sources the base;
+    together they are the whole table."""
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("question"), "lang", "source"
     )
