@@ -226,7 +226,9 @@ def cleaning_report(spark, sf):
     )
 
 
-@query("f9_sentences")
+@query("f9_sentences", rf"""WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9*\-("\\])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
+  l AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split(x, chr(10)))), lambda x: {strip_sql('x')}), lambda x: x <> '') AS s FROM c)
+  SELECT doc_id, (i - 1)::INT AS pos, s[i] AS sentence FROM l, unnest(range(1, len(s) + 1)) t(i)""")
 def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(cleaning.sentences(F.col("text"))).alias("pos", "sentence"))
 

@@ -238,7 +238,15 @@ def routing(spark, sf):
     return p.select("row_id", scoring.score_routing(F.col("predicted").cast("string"), F.col("answer").cast("string")).alias("score"))
 
 
-@query("f25_score_details")
+def _flag_sql(name, ws):
+    hit = " OR ".join(f"contains(lo, '{w}')" for w in ws)
+    return f"SELECT row_id, '{name}', 'true' FROM r0 WHERE {hit}"
+
+
+@query("f25_score_details", f"""WITH {_SCORED} SELECT row_id, 'domain' AS "check", CASE WHEN contains(lo, lower(domain)) THEN 'correct' ELSE 'wrong (expected ' || domain || ')' END AS outcome FROM r0 WHERE domain IS NOT NULL
+  UNION ALL SELECT row_id, 'contains_' || k, contains(lo, lower(k))::VARCHAR FROM (SELECT row_id, lo, unnest(must) AS k FROM r0)
+  UNION ALL SELECT row_id, 'wrongly_contains_' || k, 'true' FROM (SELECT row_id, lo, unnest(must_not) AS k FROM r0) WHERE contains(lo, lower(k))
+  UNION ALL {_flag_sql('has_severity', scoring.SEVERITY_WORDS)} UNION ALL {_flag_sql('has_causes', scoring.CAUSE_WORDS)} UNION ALL {_flag_sql('has_resolution', scoring.RESOLUTION_WORDS)}""")
 def details(spark, sf):
     d = scoring.score_details(F.col("answer"), F.col("domain"), F.col("must"), F.col("must_not"))
     return _scored(spark, sf).select("row_id", F.explode(d).alias("check", "outcome"))
