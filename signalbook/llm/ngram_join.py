@@ -14,7 +14,8 @@ A tree stands for the documents that are equal in one band (a cell). Inside a ce
 
 1. every member is compared with the cell's smallest one, which ties families of near copies together;
 2. members of cells that still hold several components are joined through the cell's R-tree by the
-   bound above, large cells in bounded blocks, and pairs across components that pass are verified on the whole sets.
+   bound above, large cells in bounded blocks; the sets of members with a candidate in another component are fetched,
+   their candidates verified on the whole sets, and the links that tie components together are kept.
 
 Pairs inside one component need no check, so families never form all pairs; all other pairs of a cell are
 bounded or verified, so no link between different components is lost. Nothing is sampled or capped.
@@ -34,8 +35,8 @@ from signalbook.llm.components import components
 from signalbook.llm.frames import join_checked, materialize
 from signalbook.llm.shingles import mix, shingle_set
 
-# Members of a cell joined in one piece of work; larger cells are cut into blocks of this size.
-BLOCK = 2000
+# Members of a cell, and their shingles, joined in one piece of work; larger cells are cut into blocks.
+BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 LEAF = 32
 _BITS = 1 << 23  # of the filter that spares documents without partners their second reading: 1 MB
 
@@ -182,49 +183,117 @@ def _passing(threshold: Threshold):
     return run
 
 
-def _cell_joins(threshold: Threshold):
-    """R-tree joins of the blocks of cells; rows arrive sorted by cell and pair of blocks."""
-
-    def joined(rows: list[tuple]) -> list[tuple]:
-        groups = min(len(read_vector(r[5], r[4])) for r in rows)
-        points = np.array([fold(read_vector(r[5], r[4]), groups) for r in rows])
-        sizes = np.array([r[4] for r in rows], np.int64)
-        side = np.array([r[6] for r in rows])
-        if side.any():
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            trees = RTree(points[left], sizes[left]), RTree(points[right], sizes[right])
-            found = [(left[i], right[j]) for i, j in trees[0].join(trees[1], threshold)]
-        else:
-            tree = RTree(points, sizes)
-            found = list(tree.join(tree, threshold))
-        out = []
-        for i, j in found:
-            for x, y in zip(i.tolist(), j.tolist()):
-                if rows[x][3] != rows[y][3]:  # of different components
-                    a, b = sorted((rows[x], rows[y]), key=lambda r: (r[1], r[2]))
-                    out.append((a[1], a[2], b[1], b[2]))
-        return out
+def _by_work(columns: tuple[str, ...], use, names: dict[str, pa.DataType]):
+    """``use`` on the rows of each piece of work; rows arrive sorted by ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "d_a", "b", "d_b"])
+        def made() -> pa.RecordBatch:
+            found = list(zip(*use(rows))) if len(rows) > 1 else []
+            found = found or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(found, names.values())], names=list(names))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("work", "doc", "d1", "root", "n", "point", "side"))):
-                if row[0] != group:
-                    if len(rows) > 1:
-                        yield batch_of(joined(rows))
-                    group, rows = row[0], []
-                rows.append(row)
-        if len(rows) > 1:
-            yield batch_of(joined(rows))
+            lists = [c for c in columns if pa.types.is_list(batch.column(c).type)]
+            data = [
+                [v.values.to_numpy(zero_copy_only=False) for v in batch.column(c)] if c in lists else batch.column(c).to_pylist()
+                for c in columns
+            ]
+            for work, *row in zip(batch.column("work").to_pylist(), *data):
+                if work != group:
+                    yield made()
+                    group, rows = work, []
+                rows.append(tuple(row))
+        yield made()
 
     return run
 
 
+def _candidates(points: list[np.ndarray], sizes: list[int], side: list[int], threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one piece of work that pass the bound, found by its R-trees."""
+    groups = min(map(len, points))
+    folded, sizes, side = np.array([fold(p, groups) for p in points]), np.array(sizes, np.int64), np.array(side)
+    if not side.any():
+        tree = RTree(folded, sizes)
+        yield from tree.join(tree, threshold)
+        return
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    trees = RTree(folded[left], sizes[left]), RTree(folded[right], sizes[right])
+    for i, j in trees[0].join(trees[1], threshold):
+        yield left[i], right[j]
+
+
+def _surviving(threshold: Threshold):
+    """Members of a piece of work with a candidate in another component. Rows: doc, d1, root, n, point,
+    side, work."""
+
+    def use(rows: list[tuple]) -> list[tuple]:
+        root = np.array([r[2] for r in rows])
+        keep = np.zeros(len(rows), bool)
+        for i, j in _candidates([read_vector(r[4], r[3]) for r in rows], [r[3] for r in rows], [r[5] for r in rows], threshold):
+            apart = root[i] != root[j]
+            keep[i[apart]] = keep[j[apart]] = True
+        return [(r[6], r[0], r[1], r[2], r[5]) for r, k in zip(rows, keep) if k]
+
+    return use
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the given pairs, exactly."""
+    if len(left) <= 20 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)], np.int64)
+    # Many pairs: products of the incidence matrix, a run of shingles at a time.
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # shingles of one set only are in no intersection
+    rows, column = rows[times[column] > 1], place[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [start, start + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[rows[lo:hi], column[lo:hi] - start] = 1
+        total += part @ part.T
+    return total[left, right].astype(np.int64)
+
+
+def _spanning(threshold: Threshold):
+    """Links that tie components of a piece of work together. Rows: doc, root, side, hashes."""
+
+    def use(rows: list[tuple]) -> list[tuple]:
+        sets = [r[3] for r in rows]
+        root = np.array([r[1] for r in rows])
+        parent: dict = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        points = [count_vector(s.view(np.uint64)).astype(np.int64) for s in sets]
+        found = [
+            (i[root[i] != root[j]], j[root[i] != root[j]])
+            for i, j in _candidates(points, list(map(len, sets)), [r[2] for r in rows], threshold)
+        ]
+        if not found:
+            return []
+        left, right = (np.concatenate(x) for x in zip(*found))
+        shared = _shared(sets, left, right)
+        sums = np.array(list(map(len, sets)))[left] + np.array(list(map(len, sets)))[right]
+        linked = shared * threshold.den >= (sums - shared) * threshold.num
+        out = []
+        for i, j in zip(left[linked].tolist(), right[linked].tolist()):
+            a, b = find(rows[i][1]), find(rows[j][1])
+            if a != b:
+                parent[a] = b
+                out.append((rows[i][0], rows[j][0]))
+        return out
+
+    return use
+
+
 def _sets_of(shingle: int, bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(bits, np.uint8)
@@ -241,28 +310,33 @@ def _sets_of(shingle: int, bits: bytes):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: Threshold) -> DataFrame:
-    """The pairs (a, d_a, b, d_b) whose whole sets are similar enough.
+def _sets(ends: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, d1, hashes of the documents in ``ends`` (doc_id, d1; distinct).
 
-    Texts of documents without a pair are kept out by a bit map of fixed size; its false positives and, on a
+    Texts of other documents are kept out by a bit map of fixed size; its false positives and, on a
     very large corpus, its filling up cost time only, because the sets are joined by id and digest.
     """
-    ends = pairs.select(F.col("a").alias("doc_id"), F.col("d_a").alias("d1")).union(pairs.select("b", "d_b")).distinct()
     bits = bytearray(_BITS // 8)
     place = f"pmod(doc_id, {_BITS})"
     words = ends.groupBy(F.expr(f"cast({place} div 32 as int)").alias("w")).agg(
         F.expr(f"bit_or(shiftleft(1L, cast({place} % 32 as int)))").alias("v"))
     for r in words.collect():
         bits[4 * r["w"] : 4 * r["w"] + 4] = int(r["v"]).to_bytes(4, "little")
-    sets = docs.mapInArrow(_sets_of(shingle, bytes(bits)), "doc_id long, d1 long, hashes array<long>").join(ends, ["doc_id", "d1"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["doc_id", "d1"]))
+    sets = docs.mapInArrow(_sets_of(shingle, bytes(bits)), "doc_id long, d1 long, hashes array<long>")
+    return materialize(sets.join(ends, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: Threshold) -> DataFrame:
+    """The pairs (a, d_a, b, d_b) whose whole sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("doc_id"), F.col("d_a").alias("d1")).union(pairs.select("b", "d_b")).distinct()
+    sets = _sets(ends, docs, shingle)
     left = sets.select(F.col("doc_id").alias("a"), F.col("d1").alias("d_a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("d1").alias("d_b"), F.col("hashes").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     num, den = threshold.num, threshold.den
     return (
         pairs.join(left, ["a", "d_a"]).join(right, ["b", "d_b"])
-        .select("a", "d_a", "b", "d_b", (F.size("x") + F.size("y")).alias("sizes"), shared.alias("shared"))
+        .select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), shared.alias("shared"))
         .filter(F.col("shared") * den >= (F.col("sizes") - F.col("shared")) * num)
         .select("a", "b")
     )
@@ -306,14 +380,14 @@ def similar_components(
     nodes = materialize(
         merged.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
         .select("d1", "doc", "n", "point", F.coalesce("root", "doc").alias("root")))
-    placed = members.join(nodes.select("d1", "doc", "root"), "d1")
+    placed = members.join(nodes.select("d1", "doc", "root", "n"), "d1")
     open_cells = (
         placed.groupBy("key").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
+            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"),
             F.bit_xor(F.xxhash64("d1", "doc")).alias("s0"), F.sum(F.xxhash64("doc", "d1").cast("decimal(38,0)")).alias("s1"))
-        .filter("r0 != r1").groupBy("size", "s0", "s1").agg(F.min("key").alias("key"))
+        .filter("r0 != r1").groupBy("size", "shingles", "s0", "s1").agg(F.min("key").alias("key"))
     )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int")
     # A member of block i works in the pairs of blocks (i, j) and (j, i): on the first or on the second side.
     work = F.transform(
@@ -325,11 +399,15 @@ def similar_components(
         .join(nodes, "d1")
         .select(F.xxhash64("key", "w.i", "w.j").alias("work"), "doc", "d1", "root", "n", "point", F.col("w.side").alias("side"))
     )
-    across = (
-        tasks.repartition("work").sortWithinPartitions("work")
-        .mapInArrow(_cell_joins(threshold), "a long, d_a long, b long, d_b long").distinct()
-    )
-    more = _verified(materialize(across), rows, shingle, threshold)
+    alive = materialize(
+        tasks.repartition("work").sortWithinPartitions("work").mapInArrow(
+            _by_work(("doc", "d1", "root", "n", "point", "side", "work"), _surviving(threshold),
+                     {"work": pa.int64(), "doc_id": pa.int64(), "d1": pa.int64(), "root": pa.int64(), "side": pa.int32()}),
+            "work long, doc_id long, d1 long, root long, side int"))
+    sets = _sets(alive.select("doc_id", "d1").distinct(), rows, shingle)
+    more = (
+        alive.join(sets, ["doc_id", "d1"]).repartition("work").sortWithinPartitions("work").mapInArrow(
+            _by_work(("doc_id", "root", "side", "hashes"), _spanning(threshold), {"a": pa.int64(), "b": pa.int64()}), "a long, b long"))
     roots = components(links.union(more))
     owners = merged.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         "d1", "d2", "n", F.coalesce("root", "doc").alias("component_id"))

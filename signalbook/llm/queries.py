@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbook.llm import exact_dedup, language_id, line_dedup, neighbours, ngram_join, packing, sentencepiece_codec, token_counts
+from signalbook.llm import (
+    chat_format, exact_dedup, html_extract, language_id, line_dedup, neighbours, ngram_join, packing, sentencepiece_codec, token_counts,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_extract")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_report(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -91,6 +98,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=1024, end_id=0)
 
 
+@query("op9_chat_format")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose turns hold strings that look like control strings."""
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.render(turns, public_tokenizers.path(BYTE_BPE)))
+
+
 @query("op10_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
