@@ -24,7 +24,7 @@ class ChunkMemo:
     computed each time.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 150_000, longest: int = 64):
         self._compute, self._limit, self._longest = compute, limit, longest
         self._led: dict = {}  # chunk without the space that leads it
         self._whole: dict = {}  # chunk as it stands

@@ -106,7 +106,7 @@ class LanguageModel:
     pieces: list[str]
     probabilities: np.ndarray
 
-    def scorer(self, memo_limit: int = 300_000):
+    def scorer(self, memo_limit: int = 150_000):
         forward, n = Forward(self.pieces, self.probabilities), len(self.languages)
 
         def compute(chunks: list[str]) -> list[bytes]:

@@ -9,13 +9,17 @@ rejects pairs without their sets, and for boxes of points the larger corners bou
 
 A point has as many coordinates as the set has shingles, so no one box tree over all documents could prune.
 The index is therefore a forest. Linked sets of at most u shingles differ in at most d = u * (1 - t) / t of
-them; if the groups are dealt into d + 1 bands, the points of a linked pair are equal in one band at least.
-A tree stands for the documents that are equal in one band (a cell). Inside a cell:
+them; if the groups are dealt into b > d bands, the points of a linked pair are equal in b - d bands at least.
+A tree stands for the documents that are equal in one band (a cell). Bands without any shingle are left out,
+unless a document has b - d of them or more: only two such documents could have no other band in common.
+
+Most bands are of one document only. They travel as sorted, difference-coded runs of keys, a few bytes each; the
+cells of two documents or more are found range by range. Inside a cell:
 
 1. every member is compared with the cell's smallest one, which ties families of near copies together;
 2. members of cells that still hold several components are joined through the cell's R-tree by the
-   bound above, large cells in bounded blocks; the sets of members with a candidate in another component are fetched,
-   their candidates verified on the whole sets, and the links that tie components together are kept.
+   bound above, large cells in bounded blocks; what candidates of different components tie together is gathered
+   once, joined through an R-tree again, verified on the whole sets, and the links between components are kept.
 
 Pairs inside one component need no check, so families never form all pairs; all other pairs of a cell are
 bounded or verified, so no link between different components is lost. Nothing is sampled or capped.
@@ -23,6 +27,8 @@ bounded or verified, so no link between different components is lost. Nothing is
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,8 @@ from signalbook.llm.components import components
 from signalbook.llm.frames import join_checked, materialize
 from signalbook.llm.shingles import mix, shingle_set
 
+# Bits of a band's key; keys of one run, and of one range of them; documents of a run that crowd a cell.
+KEY_BITS, RUN_KEYS, RANGE_KEYS, CROWD = 44, 1_000_000, 1_000_000, 16
 # Members of a cell, and their shingles, joined in one piece of work; larger cells are cut into blocks.
 BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 LEAF = 32
@@ -50,15 +58,33 @@ class Threshold:
         self.num, self.den = num, den
         # Sizes between two steps share their bands; partners reach over one step at most.
         ratio = max(1.5, den / num)
+        self._known: dict[int, tuple[int, int]] = {}
         self._steps = [1]
         while self._steps[-1] < 1 << 40:
             self._steps.append(int(self._steps[-1] * ratio) + 1)
 
-    def classes(self, n: int) -> list[tuple[int, int]]:
-        """(class, bands) of a set of ``n`` shingles: its own, and the one below if a partner may be there."""
+    def classes(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, bands, least number of equal bands) of a set of ``n`` shingles: its own class, and the
+        one below if a partner may be there."""
         k = int(np.searchsorted(self._steps, n, side="right")) - 1
         own = [k] + [k - 1] * (k > 0 and n * self.num <= (self._steps[k] - 1) * self.den)
-        return [(c, (self._steps[c + 1] - 1) * (self.den - self.num) // self.num + 1) for c in own]
+        for c in own:
+            if c not in self._known:
+                self._known[c] = self._bands(c)
+        return [(c, *self._known[c]) for c in own]
+
+    def _bands(self, c: int) -> tuple[int, int]:
+        """Bands of a class, enough that its smaller sets have fewer empty ones than equal ones."""
+        differ = (self._steps[c + 1] - 1) * (self.den - self.num) // self.num
+        equal = 1
+        while True:
+            empty = (differ + equal) * math.exp(-self._steps[c] / (differ + equal))
+            if equal >= empty + 3 * math.sqrt(empty) or equal > differ:
+                return differ + equal, equal
+            equal += max(1, equal // 8)
+
+    def keys(self, n: int) -> int:
+        return sum(bands for _, bands, _ in self.classes(n)) if n else 0
 
     def overlap(self, sizes):
         """Least intersection of two linked sets of that many shingles together."""
@@ -66,29 +92,47 @@ class Threshold:
 
 
 def band_keys(hashes: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """One key per class and band: equal for points equal in the band."""
+    """One key of ``KEY_BITS`` bits per class and band: equal for points equal in the band."""
     keys = []
     group = mix(hashes >> np.uint64(24))  # of 2^40 groups
-    for c, bands in threshold.classes(len(hashes)):
+    for c, bands, equal in threshold.classes(len(hashes)):
         band = (hashes % np.uint64(bands)).astype(np.int64)
         low = np.bincount(band, (group & np.uint64((1 << 26) - 1)).astype(np.float64), bands)
         high = np.bincount(band, (group >> np.uint64(38)).astype(np.float64), bands)
         place = np.arange(bands, dtype=np.uint64) + np.uint64(c << 48)
-        keys.append(mix(mix(low.astype(np.uint64) ^ mix(high.astype(np.uint64))) + mix(place)))
-    return np.concatenate(keys).view(np.int64)
+        found = mix(mix(low.astype(np.uint64) ^ mix(high.astype(np.uint64))) + mix(place))
+        empty = np.bincount(band, minlength=bands) == 0
+        keys.append(found[~empty] if empty.sum() < equal else found)
+    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Differences of sorted keys, byte by byte of all of them, so that high bytes compress to nothing."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
     """Numbers of shingles per group; larger sets have more groups (64 times a power of 4)."""
     groups = 64
-    while len(hashes) > 16 * groups:
+    while len(hashes) > 4 * groups:
         groups *= 4
-    counts = np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return counts.astype("<u2" if len(hashes) < 65536 else "<u4")
+    return np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
-def read_vector(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if n < 65536 else "<u4").astype(np.int64)
+def write_vector(counts: np.ndarray) -> bytes:
+    """The counts in as many bytes each as the largest needs, behind a byte that says how many."""
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def read_vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -147,29 +191,114 @@ class RTree:
                     yield left, right
 
 
+def _digest(hashes: np.ndarray) -> int:
+    return int(mix(hashes).sum(dtype=np.uint64).view(np.int64))
+
+
 def _profiles(shingle: int, threshold: Threshold):
-    """doc_id, size, a 128-bit digest of the set, band keys and count vector of every document."""
+    """doc_id, size, a 128-bit digest of the set, number of keys and count vector of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, values in slices(batch):
-                sizes, first, second, keys, points = [], [], [], [], []
+                sets = [shingle_set(v.encode(), shingle) for v in values]
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(map(_digest, sets), pa.int64()),
+                     pa.array([_digest(s + np.uint64(1)) for s in sets], pa.int64()), pa.array(map(threshold.keys, sizes), pa.int64()),
+                     pa.array([write_vector(count_vector(s)) for s in sets], pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "n_keys", "point"])
+
+    return run
+
+
+def _key_runs(shingle: int, threshold: Threshold, ranges: int):
+    """Runs of band keys: range, owners (digests), keys, and which owner each key has.
+
+    A key of more than ``CROWD`` documents of one run sends the smallest of them only; the documents themselves go
+    out as rows of their own (key, d1, low), so that a crowded cell is never gathered in one place.
+    """
+
+    def flush(digests: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(np.array(digests, np.int64), [len(k) for k in keys])
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)) != 0)
+        size = np.diff(np.append(first, len(key)))
+        crowded = np.repeat(size > CROWD, size)
+        low = np.repeat(owner[first], size)
+        rows = [(int(o) % ranges, None, None, None, k, o, w) for k, o, w in zip(key[crowded].tolist(), owner[crowded].tolist(), low[crowded].tolist())]
+        sent = ~crowded
+        sent[first] = True
+        key, owner = key[sent], owner[sent]
+        place = (key * np.uint64(ranges)) >> np.uint64(KEY_BITS)
+        ends = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+        for r in np.flatnonzero(np.diff(ends)):
+            lo, hi = ends[r], ends[r + 1]
+            names, at = np.unique(owner[lo:hi], return_inverse=True)
+            width = 2 if len(names) < 1 << 16 else 4
+            rows.append((int(r), names.tobytes(), pack_keys(key[lo:hi]), bytes([width]) + at.astype(f"<u{width}").tobytes(), None, None, None))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["range", "owners", "keys", "at", "key", "d1", "low"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, keys, seen, size = [], [], set(), 0
+        for batch in batches:
+            for _, values in slices(batch):
                 for value in values:
                     hashes = shingle_set(value.encode(), shingle)
-                    sizes.append(len(hashes))
-                    first.append(int(mix(hashes).sum(dtype=np.uint64).view(np.int64)))
-                    second.append(int(mix(hashes + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                    keys.append(band_keys(hashes, threshold) if len(hashes) else np.zeros(0, np.int64))
-                    points.append(count_vector(hashes).tobytes())
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64())),
-                     pa.array(points, pa.binary())], names=["doc_id", "n", "d1", "d2", "keys", "point"])
+                    digest = _digest(hashes)
+                    if not len(hashes) or digest in seen:
+                        continue
+                    seen.add(digest)
+                    digests.append(digest)
+                    keys.append(band_keys(hashes, threshold))
+                    size += len(keys[-1])
+                    if size >= RUN_KEYS:
+                        yield flush(digests, keys)
+                        digests, keys, seen, size = [], [], set(), 0
+        yield flush(digests, keys)
 
     return run
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (key, d1, low) of the cells of at least two sets, range by range."""
+    place, keys, owners = None, [], []
+
+    def made() -> pa.RecordBatch:
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[fresh], owner[fresh]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)) != 0)
+        size = np.diff(np.append(first, len(key)))
+        shared = np.repeat(size > 1, size)
+        low = np.repeat(owner[first], size)
+        keys.clear()
+        owners.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[shared].view(np.int64)), pa.array(owner[shared]), pa.array(low[shared])], names=["key", "d1", "low"])
+
+    for batch in batches:
+        ready = batch.filter(batch.column("owners").is_null())
+        if ready.num_rows:
+            yield ready.select(["key", "d1", "low"])
+        rest = batch.filter(batch.column("owners").is_valid())
+        for r, names, data, at in zip(*(rest.column(c).to_pylist() for c in ("range", "owners", "keys", "at"))):
+            if r != place:
+                yield made()
+                place = r
+            keys.append(unpack_keys(data))
+            owners.append(np.frombuffer(names, np.int64)[np.frombuffer(at, f"<u{at[0]}", offset=1)])
+    yield made()
+
+
 def _passing(threshold: Threshold):
     """Pairs that pass the bound."""
 
@@ -177,7 +306,7 @@ def _passing(threshold: Threshold):
         for batch in batches:
             na, nb = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
             pa_, pb = (batch.column(c).to_pylist() for c in ("point_a", "point_b"))
-            keep = [bound(read_vector(x, m), read_vector(y, n)) >= threshold.overlap(m + n) for x, y, m, n in zip(pa_, pb, na, nb)]
+            keep = [bound(read_vector(x), read_vector(y)) >= threshold.overlap(m + n) for x, y, m, n in zip(pa_, pb, na, nb)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "d_a", "b", "d_b"])
 
     return run
@@ -210,10 +339,11 @@ def _by_work(columns: tuple[str, ...], use, names: dict[str, pa.DataType]):
     return run
 
 
-def _candidates(points: list[np.ndarray], sizes: list[int], side: list[int], threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(points: list[np.ndarray], side: list[int], threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one piece of work that pass the bound, found by its R-trees."""
     groups = min(map(len, points))
-    folded, sizes, side = np.array([fold(p, groups) for p in points]), np.array(sizes, np.int64), np.array(side)
+    folded, side = np.array([fold(p, groups) for p in points]), np.array(side)
+    sizes = folded.sum(1)
     if not side.any():
         tree = RTree(folded, sizes)
         yield from tree.join(tree, threshold)
@@ -224,17 +354,19 @@ def _candidates(points: list[np.ndarray], sizes: list[int], side: list[int], thr
         yield left[i], right[j]
 
 
-def _surviving(threshold: Threshold):
-    """Members of a piece of work with a candidate in another component. Rows: doc, d1, root, n, point,
-    side, work."""
+def _near(threshold: Threshold):
+    """Pairs that tie the members of a piece of work together which have a candidate in another component.
+    Rows: doc, root, point, side."""
 
     def use(rows: list[tuple]) -> list[tuple]:
-        root = np.array([r[2] for r in rows])
-        keep = np.zeros(len(rows), bool)
-        for i, j in _candidates([read_vector(r[4], r[3]) for r in rows], [r[3] for r in rows], [r[5] for r in rows], threshold):
+        root, tied, out = np.array([r[1] for r in rows]), np.arange(len(rows)), []
+        for i, j in _candidates([read_vector(r[2]) for r in rows], [r[3] for r in rows], threshold):
             apart = root[i] != root[j]
-            keep[i[apart]] = keep[j[apart]] = True
-        return [(r[6], r[0], r[1], r[2], r[5]) for r, k in zip(rows, keep) if k]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                if tied[x] != tied[y]:
+                    tied[tied == tied[y]] = tied[x]
+                    out.append((rows[x][0], rows[y][0]))
+        return out
 
     return use
 
@@ -272,10 +404,10 @@ def _spanning(threshold: Threshold):
                 parent[x] = x = parent.get(parent[x], parent[x])
             return x
 
-        points = [count_vector(s.view(np.uint64)).astype(np.int64) for s in sets]
+        points = [count_vector(s.view(np.uint64)) for s in sets]
         found = [
             (i[root[i] != root[j]], j[root[i] != root[j]])
-            for i, j in _candidates(points, list(map(len, sets)), [r[2] for r in rows], threshold)
+            for i, j in _candidates(points, [r[2] for r in rows], threshold)
         ]
         if not found:
             return []
@@ -304,7 +436,7 @@ def _sets_of(shingle: int, bits: bytes):
                 part = batch.take(pa.array(chosen[k : k + 500]))
                 sets = [shingle_set((t.as_py() or "").encode(), shingle) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
+                    [part.column("doc_id"), pa.array(map(_digest, sets), pa.int64()),
                      pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "d1", "hashes"])
 
     return run
@@ -342,6 +474,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: Thresh
     )
 
 
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """Members of the groups ``key`` (columns d1, size and shingles of the group, others) as pieces of work.
+
+    A group of several blocks becomes a piece for each pair of blocks: a member of block i works in the pieces
+    (i, j) and (j, i), on the first or on the second side.
+    """
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = (
+        members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
+        .withColumn("piece", F.explode(pieces)).withColumn("side", F.col("piece.side"))
+        .withColumn("work", F.xxhash64(key, "piece.i", "piece.j"))
+    )
+    return dealt.drop("blocks", "own", "piece", "size", "shingles").repartition("work").sortWithinPartitions("work")
+
+
 def similar_components(
     docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -356,14 +506,16 @@ def similar_components(
     threshold = Threshold(num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = materialize(rows.mapInArrow(
-        _profiles(shingle, threshold), "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary"))
+        _profiles(shingle, threshold), "doc_id long, n long, d1 long, d2 long, n_keys long, point binary"))
     filled = profiles.filter("n > 0")
     merged = materialize(filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc"), F.first("point").alias("point")))
 
-    # Cells with two different sets at least, and their members.
-    keys = filled.select(F.explode("keys").alias("key"), "d1")
-    cells = keys.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low != high")
-    members = materialize(keys.join(cells.select("key", "low"), "key").distinct())
+    # Members of the cells of two different sets at least, each with the smallest member it has met.
+    ranges = max(64, (filled.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS)
+    runs = rows.mapInArrow(
+        _key_runs(shingle, threshold, ranges), "range long, owners binary, keys binary, at binary, key long, d1 long, low long")
+    members = materialize(
+        runs.repartition("range").sortWithinPartitions("range").mapInArrow(_cells, "key long, d1 long, low long"))
 
     def pairs_of(frame: DataFrame) -> DataFrame:
         """(a, d_a, b, d_b) that pass the bound, from columns d_a and d_b."""
@@ -380,34 +532,27 @@ def similar_components(
     nodes = materialize(
         merged.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
         .select("d1", "doc", "n", "point", F.coalesce("root", "doc").alias("root")))
-    placed = members.join(nodes.select("d1", "doc", "root", "n"), "d1")
+    placed = members.select("key", "d1").distinct().join(nodes.select("d1", "doc", "root", "n"), "d1")
     open_cells = (
         placed.groupBy("key").agg(
             F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"),
             F.bit_xor(F.xxhash64("d1", "doc")).alias("s0"), F.sum(F.xxhash64("doc", "d1").cast("decimal(38,0)")).alias("s1"))
-        .filter("r0 != r1").groupBy("size", "shingles", "s0", "s1").agg(F.min("key").alias("key"))
-    )
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int")
-    # A member of block i works in the pairs of blocks (i, j) and (j, i): on the first or on the second side.
-    work = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    tasks = (
-        placed.select("key", "d1").join(open_cells.select("key", blocks.alias("blocks")), "key")
-        .withColumn("own", own).select("key", "d1", F.explode(work).alias("w"))
-        .join(nodes, "d1")
-        .select(F.xxhash64("key", "w.i", "w.j").alias("work"), "doc", "d1", "root", "n", "point", F.col("w.side").alias("side"))
+        .filter("r0 != r1").groupBy("size", "shingles", "s0", "s1").agg(F.min("key").alias("key")).select("key", "size", "shingles")
     )
-    alive = materialize(
-        tasks.repartition("work").sortWithinPartitions("work").mapInArrow(
-            _by_work(("doc", "d1", "root", "n", "point", "side", "work"), _surviving(threshold),
-                     {"work": pa.int64(), "doc_id": pa.int64(), "d1": pa.int64(), "root": pa.int64(), "side": pa.int32()}),
-            "work long, doc_id long, d1 long, root long, side int"))
-    sets = _sets(alive.select("doc_id", "d1").distinct(), rows, shingle)
-    more = (
-        alive.join(sets, ["doc_id", "d1"]).repartition("work").sortWithinPartitions("work").mapInArrow(
-            _by_work(("doc_id", "root", "side", "hashes"), _spanning(threshold), {"a": pa.int64(), "b": pa.int64()}), "a long, b long"))
+    in_cells = placed.select("key", "d1").join(open_cells, "key").join(nodes.select("d1", "doc", "root", "point"), "d1")
+    near = _blocks(in_cells, "key").mapInArrow(
+        _by_work(("doc", "root", "point", "side"), _near(threshold), {"a": pa.int64(), "b": pa.int64()}), "a long, b long")
+    near = materialize(near.distinct())
+
+    # What such pairs tie together is verified in one place, however many cells it shares.
+    groups = components(near)
+    grouped = materialize(
+        groups.union(groups.select("root", "root").distinct()).toDF("doc", "group").join(nodes.select("doc", "d1", "root", "n"), "doc"))
+    sets = _sets(grouped.select(F.col("doc").alias("doc_id"), "d1"), rows, shingle)
+    sized = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    in_groups = grouped.join(sized, "group").join(sets.withColumnRenamed("doc_id", "doc"), ["doc", "d1"])
+    more = _blocks(in_groups, "group").mapInArrow(
+        _by_work(("doc", "root", "side", "hashes"), _spanning(threshold), {"a": pa.int64(), "b": pa.int64()}), "a long, b long")
     roots = components(links.union(more))
     owners = merged.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         "d1", "d2", "n", F.coalesce("root", "doc").alias("component_id"))

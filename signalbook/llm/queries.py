@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from signalbook.llm import (
     chat_format, exact_dedup, html_extract, language_id, line_dedup, neighbours, ngram_join, packing, sentencepiece_codec, token_counts,
 )
+from signalbook.llm.frames import bounded_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op1_html_extract")
