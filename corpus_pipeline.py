@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbook.llm import language_id, line_dedup, ngram_join, packing
+from signalbook.llm.frames import bounded_batches
 from signalbook.session import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language: no letters, or no language more likely than the others
     together. All columns stay as they are."""
+    bounded_batches(spark)
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     model = language_id.train(docs.filter(~language_id.held_out()), pieces)
     return language_id.keep_identified(docs, model, min_score=0.5)
@@ -29,11 +31,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    bounded_batches(spark)
     return ngram_join.keep_one(docs, shingle=5, num=80, den=100)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 

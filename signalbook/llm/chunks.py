@@ -8,10 +8,26 @@ a chunk (its ids, its number of tokens, its likelihoods) is computed once per wo
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+_WORKER = "_signalbook_worker"
+
+
+def worker_cached(name: str, key, make: Callable[[], object]):
+    """``make()``, kept for later tasks of the same Python worker while ``key`` stays the same.
+
+    Only what can be made anew belongs here (tokenizers and their memos); one value per name is kept.
+    """
+    held = sys.modules.setdefault(_WORKER, types.ModuleType(_WORKER)).__dict__
+    if name not in held or held[name][0] != key:
+        held[name] = (key, make())
+    return held[name][1]
+
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 

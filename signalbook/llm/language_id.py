@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import ChunkMemo, slices
+from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
 from signalbook.llm.sentencepiece_codec import MARK, NORMAL, read_model
 
 UNDETERMINED = "und"
@@ -187,6 +187,11 @@ def _piece_counts(piece_file: str):
     return run
 
 
+def _cached_scorer(languages: list[str], pieces: list[str], probabilities: np.ndarray):
+    key = (tuple(languages), len(pieces), probabilities.tobytes())
+    return worker_cached("language", key, lambda: LanguageModel(languages, pieces, probabilities).scorer())
+
+
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text.
 
@@ -198,7 +203,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probabilities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = LanguageModel(*held.value).scorer()
+        score = _cached_scorer(*held.value)
         for batch in batches:
             for ids, values in slices(batch):
                 found = score(values)
@@ -229,7 +234,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probabilities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = LanguageModel(*held.value).scorer()
+        score = _cached_scorer(*held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

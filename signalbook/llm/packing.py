@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import ChunkMemo, slices
+from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ROWS = 50_000
@@ -35,7 +35,7 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._memo = ChunkMemo(self._encode)
+        self._memo = ChunkMemo(self._encode, 300_000)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -108,7 +108,8 @@ def pack(
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = IdEncoder(tokenizer_file), HarmonicBins(capacity)
+        encode = worker_cached("ids", tokenizer_file, lambda: IdEncoder(tokenizer_file))
+        bins = HarmonicBins(capacity)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 

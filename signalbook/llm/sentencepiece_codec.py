@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import ChunkMemo, slices
+from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
 
 MARK = "▁"
 # Kinds of pieces and models, as the format numbers them.
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_file, verify)
+        codec = worker_cached("codec", (model_file, verify), lambda: Codec(model_file, verify))
         for batch in batches:
             for docs_, values in slices(batch):
                 found = codec(values)
@@ -201,7 +201,7 @@ def codec_report(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_file)
+        codec = worker_cached("codec", (model_file, True), lambda: Codec(model_file))
         for batch in batches:
             for docs_, values in slices(batch):
                 found = codec(values)

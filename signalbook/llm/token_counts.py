@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import ChunkMemo, cut, slices, texts
+from signalbook.llm.chunks import ChunkMemo, cut, slices, texts, worker_cached
 
 COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _PAIRS = 1_000_000
@@ -123,7 +123,7 @@ def token_counts(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer_file)
+        counter = worker_cached("counts", tokenizer_file, lambda: PrefixCounter(tokenizer_file))
         for batch in batches:
             for ids, values in slices(batch):
                 counts = counter.counts(values)
@@ -142,7 +142,7 @@ def prefix_tables(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id",
     """
 
     def run(batches):
-        counter = PrefixCounter(tokenizer_file)
+        counter = worker_cached("counts", tokenizer_file, lambda: PrefixCounter(tokenizer_file))
         for batch in batches:
             for doc, value in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 ends, counts = counter.table(value)
@@ -160,7 +160,7 @@ def truncate(
     """doc_id, n_chars, n_tokens of the longest prefix of each text within ``budget`` tokens."""
 
     def run(batches):
-        counter = PrefixCounter(tokenizer_file)
+        counter = worker_cached("counts", tokenizer_file, lambda: PrefixCounter(tokenizer_file))
         for batch in batches:
             chars, tokens = [], []
             for value in texts(batch):
