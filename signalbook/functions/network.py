@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalbook.functions.text import stable_hash
 
 # Lower bound, upper bound and digits per metric (None = unbounded).
 KPI_LIMITS = {
@@ -40,10 +39,6 @@ def is_degraded(status: Column) -> Column:
     return status.isin("DEGRADED", "CRITICAL")
 
 
-def sample_seed(cell: Column, hour: Column, day: Column) -> Column:
-    return stable_hash(cell, hour, day)
-
-
 def diurnal_baseline(hour: Column) -> Column:
     """Expected load of an hour of day: three bell curves around 10, 14 and 18 o'clock."""
 

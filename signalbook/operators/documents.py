@@ -131,8 +131,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2")
     Queries are few next to the vectors. Blocks of at most ``QUERY_BLOCK`` of them go to the tasks;
     every batch of vectors keeps only its ``k`` best per query before anything is shuffled, so
     vectors never move. More queries mean more passes, not a larger block. Distance is the squared
-    L2 distance or one minus the cosine; ties go to the smaller id.
+    L2 distance or one minus the cosine; ties go to the smaller id. Null vectors take no part on either side; without
+    queries the result is empty.
     """
+    queries, vectors = (x.filter(F.col("embedding").isNotNull()) for x in (queries, vectors))
     placed = positions(queries.select("query_id", "embedding"), ["query_id"], span_bucket("query_id")).withColumn(
         "block", F.floor(F.col("pos") / QUERY_BLOCK)).drop("pos")
     out = None
@@ -145,7 +147,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2")
         if len(rows) < QUERY_BLOCK:
             break
     if out is None:
-        raise ValueError("no queries")
+        out = queries.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
     w = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -53,11 +53,15 @@ def concept_summary(df: DataFrame, by="subject") -> DataFrame:
 
 
 def diff_results(a: DataFrame, b: DataFrame, key="id", score="score", eps: float = 0.05) -> DataFrame:
-    """Per question: old and new score, change, and gains / regressions / no_change."""
-    both = a.select(key, F.col(score).alias("old")).join(b.select(key, F.col(score).alias("new")), key, "full_outer")
+    """Per question: old and new score, change, and gains / regressions / no_change; only_old and only_new for
+    questions of one run, null for those without a score in a run that has them."""
+    both = a.select(key, F.col(score).alias("old"), F.lit(True).alias("_a")).join(
+        b.select(key, F.col(score).alias("new"), F.lit(True).alias("_b")), key, "full_outer")
     delta = F.col("new") - F.col("old")
-    kind = F.when(delta >= eps, "gains").when(delta <= -eps, "regressions").otherwise("no_change")
-    return both.withColumns({"delta": delta, "kind": kind})
+    kind = (
+        F.when(F.col("_b").isNull(), "only_old").when(F.col("_a").isNull(), "only_new")
+        .when(delta >= eps, "gains").when(delta <= -eps, "regressions").when(delta.isNotNull(), "no_change"))
+    return both.withColumns({"delta": delta, "kind": kind}).drop("_a", "_b")
 
 
 def shared_regressions(diffs: list[DataFrame], key="id") -> DataFrame:

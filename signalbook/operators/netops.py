@@ -64,11 +64,12 @@ def resolve_cells(requests: DataFrame, all_cells: DataFrame) -> DataFrame:
 # --- key figures -----------------------------------------------------------------------------
 def flag_anomalies(kpi: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Anomaly type and severity of samples whose hour lies in [start_hour, end_hour] of their cell.
+    Intervals that end before they start flag nothing.
 
     An interval covers at most 24 hours of day, so it is unrolled into hours: the range join becomes
     an equi-join on (cell, hour) with at most one partner per row.
     """
-    hours = anomalies.withColumn("hour", F.explode(F.sequence("start_hour", "end_hour")))
+    hours = anomalies.filter("start_hour <= end_hour").withColumn("hour", F.explode(F.sequence("start_hour", "end_hour")))
     one = hours.groupBy("cell_id", "hour").agg(F.min(F.struct("severity", "type")).alias("_a"))
     return kpi.join(one, ["cell_id", "hour"], "left").select(
         *kpi.columns, F.col("_a.type").alias("anomaly"), F.col("_a.severity").alias("anomaly_severity"))
@@ -197,9 +198,10 @@ def correlate_changes(alarm_rows: DataFrame, changes: DataFrame, within_seconds:
         F.col("cell_id").alias("cell"), F.col("time").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("alarm_id"),
         F.struct("time", "param", "change_id").alias("change"), F.col("change_id").alias("seq")))
     carried = running(line, ["cell"], ["at", "kind", "seq"], F.date_trunc("hour", "at"), lasts={"last_change": F.col("change")})
-    age = F.timestamp_diff("SECOND", F.col("last_change.time"), F.col("at"))
-    return carried.filter((F.col("kind") == 1) & (age <= within_seconds)).select(
-        "alarm_id", "cell", "last_change.change_id", "last_change.param", age.alias("age_seconds"))
+    age = F.timestamp_diff("MICROSECOND", F.col("last_change.time"), F.col("at"))
+    return carried.filter((F.col("kind") == 1) & (age <= within_seconds * 1_000_000)).select(
+        "alarm_id", "cell", "last_change.change_id", "last_change.param", age.alias("_age")
+    ).withColumn("age_seconds", F.floor(F.col("_age") / 1_000_000).cast("long")).drop("_age")
 
 
 def correlate_kpi(alarm_rows: DataFrame, kpi: DataFrame, metric: str = "value") -> DataFrame:

@@ -144,7 +144,7 @@ def _concepts(spark, sf):
     choice, rest = F.substring("text", F.lit(1), stop), F.substring("text", stop + 1, F.length("text"))
     items = table(spark, sf, "benchmark").select("item_id", ans.key_concepts(choice, rest).alias("concepts"))
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_id"), F.col("lang").alias("subject"), F.col("text").alias("answer"), (F.col("doc_id") % 40).alias("item_id"))
+        F.col("doc_id").alias("row_id"), F.col("lang").alias("subject"), F.col("text").alias("answer"), (F.col("doc_id") % items.agg(F.count(F.lit(1))).scalar()).alias("item_id"))
     return d.join(items, "item_id").withColumn("coverage", ans.concept_coverage(F.col("answer"), F.col("concepts")))
 
 
@@ -157,7 +157,7 @@ bg AS (SELECT item_id, list_filter(w, lambda x: {_USE.format('x')}) AS s,
   list_transform(list_filter(range(1, len(cw)), lambda i: {_USE.format('cw[i]')} AND {_USE.format('cw[i + 1]')}), lambda i: cw[i] || ' ' || cw[i + 1]) AS b FROM tk),
 al AS (SELECT item_id, list_concat(s, b) AS a FROM bg),
 dd AS (SELECT item_id, list_filter(a, lambda x, i: list_position(a, x) = i)[1:15] AS concepts FROM al),
-cv AS (SELECT doc_id AS row_id, lang AS subject, concepts, list_filter(concepts, lambda c: contains(lower(d.text), c)) AS found FROM documents d JOIN dd ON d.doc_id % 40 = dd.item_id),
+cv AS (SELECT doc_id AS row_id, lang AS subject, concepts, list_filter(concepts, lambda c: contains(lower(d.text), c)) AS found FROM documents d JOIN dd ON d.doc_id % (SELECT count(*) FROM benchmark) = dd.item_id),
 cs AS (SELECT *, CASE WHEN len(concepts) = 0 THEN 0.0 ELSE len(found) / len(concepts) END AS score FROM cv)"""
 
 
@@ -191,7 +191,8 @@ RUBRIC = [
 ]
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, every: bool = False):
+    """Answers with the scorer of their language, or with every scorer."""
     r = spark.createDataFrame(RUBRIC, "lang string, category string, domain string, must array<string>, must_not array<string>")
     a, must = F.col("answer"), F.col("must")
     score = (
@@ -199,11 +200,13 @@ def _scored(spark, sf):
         .when(F.col("category") == "config", scoring.score_config(a, must))
         .otherwise(scoring.score_knowledge(a, must))
     )
-    rows = answers(spark, sf).join(F.broadcast(r), "lang")  # a fixed table of four rows
+    own = answers(spark, sf)
+    keyed = own.withColumn("lang", F.explode(F.array(*[F.lit(x[0]) for x in RUBRIC]))) if every else own
+    rows = keyed.join(F.broadcast(r), "lang")  # a fixed table of four rows
     return rows.withColumns({"score": score, "elapsed": F.length("answer") / 1000})
 
 
-def _rubric_sql():
+def _rubric_sql(pairs="answers a JOIN rb USING (lang)"):
     def arr(xs):
         return "[" + ", ".join(sql_text(x) for x in xs) + "]::VARCHAR[]"
     rows = ", ".join(f"('{lg}', '{c}', {sql_text(d) if d else 'NULL'}, {arr(m)}, {arr(n)})" for lg, c, d, m, n in RUBRIC)
@@ -215,7 +218,7 @@ def _rubric_sql():
     st = strip_sql("x")
     return f"""{ANSWERS_SQL}, rb(lang, category, domain, must, must_not) AS (VALUES {rows}),
 r0 AS (SELECT a.*, category, domain, must, must_not, lower(answer) AS lo, string_split(answer, chr(10)) AS ln,
-  list_filter(regexp_split_to_array(lower(answer), '\\s+'), lambda w: w <> '') AS wd FROM answers a JOIN rb USING (lang)),
+  list_filter(regexp_split_to_array(lower(answer), '\\s+'), lambda w: w <> '') AS wd FROM {pairs}),
 r1 AS (SELECT *, len(list_filter(must, lambda k: contains(lo, lower(k)))) AS hit, len(list_filter(must_not, lambda k: contains(lo, lower(k)))) AS bad, {extra} AS ex,
   len(list_distinct(list_filter(list_transform(ln, lambda x: {st}), lambda x: x <> ''))) AS ul FROM r0),
 sc AS (SELECT row_id, lang, category, length(answer) / 1000 AS elapsed, CASE
@@ -226,10 +229,11 @@ sc AS (SELECT row_id, lang, category, length(answer) / 1000 AS elapsed, CASE
 
 
 _SCORED = _rubric_sql()
+_EVERY = _rubric_sql("(SELECT x.* EXCLUDE (lang), rb.lang FROM answers x, rb) a JOIN rb USING (lang)")
 for _name, _cats in {"f21_score_incident": "'incident', 'kpi'", "f22_score_config": "'config'", "f23_score_knowledge": "'knowledge'"}.items():
     def _one(spark, sf, cats=_cats):
-        return _scored(spark, sf).filter(f"category IN ({cats})").select("row_id", F.round("score", 6).alias("score"))
-    query(_name, f"WITH {_SCORED} SELECT row_id, round(score, 6) AS score FROM sc WHERE category IN ({_cats})")(_one)
+        return _scored(spark, sf, every=True).filter(f"category IN ({cats})").select("row_id", "category", F.round("score", 6).alias("score"))
+    query(_name, f"WITH {_EVERY} SELECT row_id, category, round(score, 6) AS score FROM sc WHERE category IN ({_cats})")(_one)
 
 
 @query("f24_score_routing", f"WITH {MCQ_SQL} SELECT row_id, CASE WHEN {_extract_sql('response')}::VARCHAR = answer::VARCHAR THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM mcq")
@@ -285,7 +289,7 @@ def _run_sql(run):
 
 def _diff_sql(a, b, name):
     return f"""{name} AS (SELECT coalesce(x.id, y.id) AS id, x.score AS old, y.score AS new, y.score - x.score AS delta,
-  CASE WHEN y.score - x.score >= 0.05 THEN 'gains' WHEN y.score - x.score <= -0.05 THEN 'regressions' ELSE 'no_change' END AS kind
+  CASE WHEN y.id IS NULL THEN 'only_old' WHEN x.id IS NULL THEN 'only_new' WHEN y.score - x.score >= 0.05 THEN 'gains' WHEN y.score - x.score <= -0.05 THEN 'regressions' ELSE 'no_change' END AS kind
   FROM ({_run_sql(a)}) x FULL JOIN ({_run_sql(b)}) y ON x.id = y.id)"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from signalbook import rules
 from signalbook.functions import entities as ent
 from signalbook.functions import network as net
+from signalbook.functions.text import stable_hash
 from signalbook.operators import evidence, netops
 from signalbook.operators.scans import running
 from signalbook.plans.catalog import query, table
@@ -162,7 +163,7 @@ def status(spark, sf):
 
 @query("f29_stable_hash", f"{W} SELECT event_id, ('0x' || substr(md5(cell_id || '-' || hour || '-' || day(ts)), 1, 8))::BIGINT AS seed FROM kpi")
 def seed(spark, sf):
-    return kpi(spark, sf).select("event_id", net.sample_seed(F.col("cell_id"), F.col("hour"), F.day("ts")).alias("seed"))
+    return kpi(spark, sf).select("event_id", stable_hash(F.col("cell_id"), F.col("hour"), F.day("ts")).alias("seed"))
 
 
 _BASE = "(0.2 + 0.8 * (0.3 * exp(-pow(hour - 10, 2) / 8.0) + 0.4 * exp(-pow(hour - 18, 2) / 10.0) + 0.3 * exp(-pow(hour - 14, 2) / 20.0)))"
@@ -260,7 +261,7 @@ def deviation(spark, sf):
 
 # --- correlation -----------------------------------------------------------------------------
 @query("c12_correlate_changes", f"""{W}, a AS (SELECT alarm_id, affected_element AS cell, raised_time, change_id, param, time FROM alarms ASOF JOIN changes ON affected_element = cell_id AND raised_time >= time)
-  SELECT alarm_id, cell, change_id, param, (epoch_us(raised_time) - epoch_us(time)) // 1000000 AS age_seconds FROM a WHERE epoch_us(raised_time) - epoch_us(time) < 86401000000""")
+  SELECT alarm_id, cell, change_id, param, (epoch_us(raised_time) - epoch_us(time)) // 1000000 AS age_seconds FROM a WHERE epoch_us(raised_time) - epoch_us(time) <= 86400000000""")
 def correlate(spark, sf):
     return netops.correlate_changes(alarms(spark, sf), changes(spark, sf), 86400)
 

@@ -54,7 +54,8 @@ def write_report(metrics: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def append_new(df: DataFrame, target: str, key: str) -> None:
-    """Append the rows whose key the Parquet table at ``target`` does not hold yet."""
+    """Append the rows whose key the Parquet table at ``target`` does not hold yet, one row per key."""
+    df = df.dropDuplicates([key])
     try:
         df = df.join(df.sparkSession.read.parquet(target).select(key), key, "left_anti")
     except AnalysisException as e:

@@ -280,3 +280,37 @@ def test_csv_and_mcq(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"question":"q","choices":["a","b"],"answer":1,"subject":"Lexicon"}\n')
     assert chat_io.read_mcq(spark, str(tmp_path / "m.jsonl"), "LEXICON").first().answer == 1
     assert chat_io.read_mcq(spark, str(tmp_path / "m.jsonl"), "other").count() == 0
+
+
+def test_overnight_interval_flags_nothing(spark):
+    kpi = spark.createDataFrame([("c", h) for h in (5, 12, 22)], "cell_id string, hour int")
+    odd = spark.createDataFrame([("c", 22, 6, "x", "major"), ("c", 12, 12, "y", "minor")], "cell_id string, start_hour int, end_hour int, type string, severity string")
+    from signalbook.operators import netops
+
+    assert {(r["hour"], r["anomaly"]) for r in netops.flag_anomalies(kpi, odd).collect()} == {(5, None), (12, "y"), (22, None)}
+
+
+def test_change_age_counts_fractions(spark):
+    from signalbook.operators import netops
+
+    alarms = spark.sql("SELECT 'a' AS alarm_id, 'c' AS affected_element, TIMESTAMP_NTZ'2024-01-01 00:00:10.9' AS raised_time, 1L AS event_id")
+    changes = spark.sql("SELECT 'c' AS cell_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS time, 'p' AS param, 7L AS change_id")
+    assert netops.correlate_changes(alarms, changes, 10).count() == 0
+    assert netops.correlate_changes(alarms, changes, 11).first()["age_seconds"] == 10
+
+
+def test_diff_of_one_sided_ids(spark):
+    from signalbook.operators import evals
+
+    a = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, None)], "id long, score double")
+    b = spark.createDataFrame([(2, 0.9), (3, 0.1), (4, 0.1)], "id long, score double")
+    assert {(r["id"], r["kind"]) for r in evals.diff_results(a, b).collect()} == {(1, "only_old"), (2, "gains"), (3, None), (4, "only_new")}
+
+
+def test_knn_without_queries_and_with_null_vectors(spark):
+    from signalbook.operators import documents
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(9, [1.0, 1.0]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in documents.knn(queries, vectors, 3).collect()] == [(9, 1)]
+    assert documents.knn(queries.filter("false"), vectors, 3).count() == 0
