@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from signalbook.llm.chunks import ChunkMemo, cut, slices, texts, worker_cached
 
 COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_PAIRS = 1_000_000
+_PAIRS, _PIECES = 1_000_000, 300_000
 
 
 class PrefixCounter:
@@ -45,6 +45,7 @@ class PrefixCounter:
         self._tokens = {t for t in model["model"]["vocab"] if len(t) == 1 or self._merge(t) == [t]}
         self._longest = max(map(len, self._tokens))
         self._fits: dict = {}
+        self._known: dict = {}  # counts of whole pre-tokens
         self._memo = ChunkMemo(lambda chunks: [self.chunk(c) for c in chunks])
 
     def _merge(self, piece: str) -> list[str]:
@@ -84,7 +85,19 @@ class PrefixCounter:
             if special in chunk:
                 parts = chunk.split(special)
                 return len(parts) - 1 + sum(self.chunk(p) for p in parts if p)
-        return sum(self.prefixes(piece)[-1] for piece, _ in self._pre.pre_tokenize_str(chunk))
+        return sum(self._whole(piece) for piece, _ in self._pre.pre_tokenize_str(chunk))
+
+    def _whole(self, piece: str) -> int:
+        if piece in self._tokens:
+            return 1
+        count = self._known.get(piece)
+        if count is None:
+            count = self.prefixes(piece)[-1]
+            if len(self._known) >= _PIECES:
+                self._known.clear()
+            if len(piece) <= 64:
+                self._known[piece] = count
+        return count
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts."""
