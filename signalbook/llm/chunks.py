@@ -7,6 +7,7 @@ a chunk (its ids, its number of tokens, its likelihoods) is computed once per wo
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
@@ -20,12 +21,22 @@ _WORKER = "_signalbook_worker"
 def worker_cached(name: str, key, make: Callable[[], object]):
     """``make()``, kept for later tasks of the same Python worker while ``key`` stays the same.
 
-    Only what can be made anew belongs here (tokenizers and their memos); one value per name is kept.
+    Only what can be made anew belongs here (tokenizers and their memos). One value is kept at a time.
     """
     held = sys.modules.setdefault(_WORKER, types.ModuleType(_WORKER)).__dict__
-    if name not in held or held[name][0] != key:
-        held[name] = (key, make())
-    return held[name][1]
+    if held.get("key") != (name, key):
+        release_worker()
+        held.update(value=make(), key=(name, key))
+    return held["value"]
+
+
+def release_worker() -> None:
+    """Give back what earlier tasks have left in this Python worker."""
+    held = sys.modules.setdefault(_WORKER, types.ModuleType(_WORKER)).__dict__
+    held.pop("key", None)
+    if held.pop("value", None) is not None:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")

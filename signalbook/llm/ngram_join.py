@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import slices
+from signalbook.llm.chunks import release_worker, slices
 from signalbook.llm.components import components
 from signalbook.llm.frames import join_checked, materialize
 from signalbook.llm.shingles import mix, shingle_set
@@ -199,8 +199,9 @@ def _profiles(shingle: int, threshold: Threshold):
     """doc_id, size, a 128-bit digest of the set, number of keys and count vector of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         for batch in batches:
-            for ids, values in slices(batch):
+            for ids, values in slices(batch, 250, 2_000_000):
                 sets = [shingle_set(v.encode(), shingle) for v in values]
                 sizes = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -244,9 +245,10 @@ def _key_runs(shingle: int, threshold: Threshold, ranges: int):
             [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["range", "owners", "keys", "at", "key", "d1", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         digests, keys, seen, size = [], [], set(), 0
         for batch in batches:
-            for _, values in slices(batch):
+            for _, values in slices(batch, 250, 2_000_000):
                 for value in values:
                     hashes = shingle_set(value.encode(), shingle)
                     digest = _digest(hashes)
@@ -316,6 +318,7 @@ def _by_work(columns: tuple[str, ...], use, names: dict[str, pa.DataType]):
     """``use`` on the rows of each piece of work; rows arrive sorted by ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         group, rows = None, []
 
         def made() -> pa.RecordBatch:
@@ -432,8 +435,8 @@ def _sets_of(shingle: int, bits: bytes):
         for batch in batches:
             at = np.array([-1 if i is None else i % _BITS for i in batch.column("doc_id").to_pylist()], np.int64)
             chosen = np.flatnonzero((at >= 0) & (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-            for k in range(0, len(chosen), 500):
-                part = batch.take(pa.array(chosen[k : k + 500]))
+            for k in range(0, len(chosen), 100):
+                part = batch.take(pa.array(chosen[k : k + 100]))
                 sets = [shingle_set((t.as_py() or "").encode(), shingle) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(map(_digest, sets), pa.int64()),

@@ -8,7 +8,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 20  # bytes hashed at once
+_SLICE = 1 << 18  # bytes hashed at once
+_TABLES: dict[int, np.ndarray] = {}  # made where they are used: they would travel with every task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,26 +22,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int) -> np.ndarray:
+    if base in _TABLES:
+        return _TABLES[base]
     out = np.empty(_SLICE, np.uint64)
     out[0] = 1
     size = 1
     while size < _SLICE:
         out[size : 2 * size] = out[:size] * np.uint64(pow(base, size, 1 << 64))
         size *= 2
+    _TABLES[base] = out
     return out
 
 
-_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
-
-
 def _hash_slice(data: bytes) -> np.ndarray:
     codes = np.frombuffer(data, np.uint8)
     gap = np.concatenate([[True], _SPACE[codes], [True]])
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _UP[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _DOWN[starts])
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE)[: len(codes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE)[starts])
 
 
 def word_hashes(data: bytes) -> np.ndarray:

@@ -117,8 +117,8 @@ def test_token_counts(odd, empty, documents):
     assert got == Counter((i, len((t or "").encode()), size(t or ""), size(t or "") > 512) for i, t in texts_of(docs))
     assert token_counts.token_counts(empty, BPE).count() == 0
     counter, random_ = token_counts.PrefixCounter(BPE), random.Random(1)
-    for text in [t for t in ODD if t] + [t for _, t in texts_of(documents)[:5]]:
-        text = text[:500]
+    for text in [t for t in ODD if t] + [t for _, t in texts_of(documents)[:3]]:
+        text = text[:120]
         table = counter.table(text)
         for end in {0, len(text), *(random_.randint(0, len(text)) for _ in range(25))}:
             assert counter.tokens_at(text, table, end) == size(text[:end])
