@@ -63,11 +63,11 @@ def fill(template: Column, slots: dict[str, Column]) -> Column:
 
 
 def question_from_title(title: Column, seed: Column, templates=None) -> Column:
-    return fill(pick(templates or rules.SECTION_QUESTIONS, seed), {"title": title})
+    return fill(pick(rules.SECTION_QUESTIONS if templates is None else templates, seed), {"title": title})
 
 
 def intent_prompts(intent: Column, seed: Column, templates=None) -> Column:
-    return fill(pick(templates or rules.INTENT_PROMPTS, seed), {"intent": intent})
+    return fill(pick(rules.INTENT_PROMPTS if templates is None else templates, seed), {"intent": intent})
 
 
 def fill_templates(params: DataFrame, templates: list[tuple[str, str, str, str, str]], key: str, slots: list[str], seed: int = 0) -> DataFrame:
@@ -86,12 +86,12 @@ def fill_templates(params: DataFrame, templates: list[tuple[str, str, str, str,
     alarm, diagnosis, resolution = F.col("alarm"), F.col("diagnosis"), F.col("resolution")
     shape = F.floor(h / len(templates)) % 3
     instruction = (
-        F.when(shape == 0, F.concat(F.lit("I'm seeing this alarm in the NOC: '"), alarm, F.lit("'. What could be causing this?")))
-        .when(shape == 1, F.concat(F.lit("Alarm: '"), alarm, F.lit("'\nDiagnosis: "), diagnosis, F.lit("\n\nWhat are the resolution steps?")))
-        .otherwise(F.concat(F.lit("NOC Alert: '"), alarm, F.lit("'\n\nPlease provide full incident analysis and resolution steps."))))
+        F.when(shape == 0, F.concat(F.lit("Find the cause of this alarm: "), alarm))
+        .when(shape == 1, F.concat(alarm, F.lit("\nCause: "), diagnosis, F.lit("\n\nHow is it put right?")))
+        .otherwise(F.concat(alarm, F.lit("\n\nName the cause and how to put it right."))))
     response = (
         F.when(shape == 0, diagnosis).when(shape == 1, resolution)
-        .otherwise(F.concat(F.lit("**Diagnosis:**\n"), diagnosis, F.lit("\n\n**Resolution Steps:**\n"), resolution)))
+        .otherwise(F.concat(F.lit("Cause: "), diagnosis, F.lit("\n\nRemedy: "), resolution)))
     category = F.when(shape == 0, "noc_diagnosis").when(shape == 1, "noc_resolution").otherwise("noc_full")
     complete = ~F.concat("alarm", "diagnosis", "resolution").rlike(r"\{\w+\}")
     return rows.filter(complete).select(
@@ -104,7 +104,7 @@ def fan_out(df: DataFrame, k: int) -> DataFrame:
 
 
 def prompt_variants(df: DataFrame, question: str, templates=None) -> DataFrame:
-    forms = [fill(F.lit(t), {"question": F.col(question)}) for t in (templates or rules.PROMPT_VARIANTS)]
+    forms = [fill(F.lit(t), {"question": F.col(question)}) for t in (rules.PROMPT_VARIANTS if templates is None else templates)]
     return df.select("*", F.posexplode(F.array(*forms)).alias("variant", "instruction"))
 
 
@@ -114,8 +114,8 @@ def mcq_forms(df: DataFrame, question="question", choices="choices", answer="ans
     right = F.get(choices, F.col(answer))
     why = F.concat(F.lit("\n\n"), F.col(explanation))
     closed = F.struct(
-        F.concat(question, F.lit("\n\nChoices:\n"), lines, F.lit("\n\nAnswer with the number of the correct choice and explain why.")).alias("instruction"),
-        F.concat(F.lit("The correct answer is **"), F.col(answer).cast("string"), F.lit("**: "), right, why).alias("response"),
+        F.concat(question, F.lit("\n\nChoices:\n"), lines, F.lit("\n\nReply with the number that fits, then the reason.")).alias("instruction"),
+        F.concat(F.lit("Number "), F.col(answer).cast("string"), F.lit(": "), right, why).alias("response"),
         F.lit("mcq_telecom").alias("category"))
     opened = F.struct(F.col(question).alias("instruction"), F.concat(right, why).alias("response"), F.lit("telecom_knowledge").alias("category"))
     return df.select("*", F.inline(F.array(closed, opened)))

@@ -143,9 +143,9 @@ def _fill_sql(i):
 
 @query("f12_fill_templates", f"""WITH h AS (SELECT *, {_hash_sql('p_partkey', '0')} AS h FROM part),
   f AS (SELECT p_partkey, (h // 5) % 3 AS s, {_fill_sql(0)} AS a, {_fill_sql(1)} AS d, {_fill_sql(2)} AS r, {_fill_sql(3)} AS severity, {_fill_sql(4)} AS domain FROM h)
-  SELECT p_partkey, CASE s WHEN 0 THEN 'I''m seeing this alarm in the NOC: ''' || a || '''. What could be causing this?' WHEN 1 THEN 'Alarm: ''' || a || '''' || chr(10) || 'Diagnosis: ' || d || chr(10) || chr(10) || 'What are the resolution steps?'
-   ELSE 'NOC Alert: ''' || a || '''' || chr(10) || chr(10) || 'Please provide full incident analysis and resolution steps.' END AS instruction,
-  CASE s WHEN 0 THEN d WHEN 1 THEN r ELSE '**Diagnosis:**' || chr(10) || d || chr(10) || chr(10) || '**Resolution Steps:**' || chr(10) || r END AS response,
+  SELECT p_partkey, CASE s WHEN 0 THEN 'Find the cause of this alarm: ' || a WHEN 1 THEN a || chr(10) || 'Cause: ' || d || chr(10) || chr(10) || 'How is it put right?'
+   ELSE a || chr(10) || chr(10) || 'Name the cause and how to put it right.' END AS instruction,
+  CASE s WHEN 0 THEN d WHEN 1 THEN r ELSE 'Cause: ' || d || chr(10) || chr(10) || 'Remedy: ' || r END AS response,
   CASE s WHEN 0 THEN 'noc_diagnosis' WHEN 1 THEN 'noc_resolution' ELSE 'noc_full' END AS category, severity, domain FROM f WHERE NOT regexp_matches(a || d || r, '\\{{\\w+\\}}')""")
 def fill(spark, sf):
     return docs.fill_templates(table(spark, sf, "part"), TEMPLATES, "p_partkey", SLOTS)
@@ -156,14 +156,14 @@ def fan_out(spark, sf):
     return docs.fan_out(table(spark, sf, "part").select("p_partkey"), 50)
 
 
-@query("f13_prompt_variants", "SELECT p_partkey, 0 AS variant, p_name AS instruction FROM part UNION ALL SELECT p_partkey, 1, 'Can you explain: ' || p_name FROM part UNION ALL SELECT p_partkey, 2, 'I''m studying for my telco certification. ' || p_name FROM part")
+@query("f13_prompt_variants", "SELECT p_partkey, 0 AS variant, p_name AS instruction FROM part UNION ALL SELECT p_partkey, 1, 'In a few words: ' || p_name FROM part UNION ALL SELECT p_partkey, 2, 'For a written test, please answer: ' || p_name FROM part")
 def variants(spark, sf):
     return docs.prompt_variants(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "variant", "instruction")
 
 
 @query("f13_mcq_forms", """WITH m AS (SELECT p_partkey, p_name AS q, [p_brand, p_type, p_size::VARCHAR] AS c, (p_partkey % 3)::INT AS a FROM part)
-  SELECT p_partkey, q || chr(10) || chr(10) || 'Choices:' || chr(10) || '  0: ' || c[1] || chr(10) || '  1: ' || c[2] || chr(10) || '  2: ' || c[3] || chr(10) || chr(10) || 'Answer with the number of the correct choice and explain why.' AS instruction,
-   'The correct answer is **' || a || '**: ' || c[a + 1] || chr(10) || chr(10) || 'See ' || q AS response, 'mcq_telecom' AS category FROM m
+  SELECT p_partkey, q || chr(10) || chr(10) || 'Choices:' || chr(10) || '  0: ' || c[1] || chr(10) || '  1: ' || c[2] || chr(10) || '  2: ' || c[3] || chr(10) || chr(10) || 'Reply with the number that fits, then the reason.' AS instruction,
+   'Number ' || a || ': ' || c[a + 1] || chr(10) || chr(10) || 'See ' || q AS response, 'mcq_telecom' AS category FROM m
   UNION ALL SELECT p_partkey, q, c[a + 1] || chr(10) || chr(10) || 'See ' || q, 'telecom_knowledge' FROM m""")
 def mcq_forms(spark, sf):
     items = table(spark, sf, "part").select(
