@@ -67,7 +67,7 @@ TERM = r"(?U)([a-z0-9][\w\-]*[a-z0-9]|[a-z0-9])"
 
 def key_concepts(choice: Column, explanation: Column, stopwords=None, limit: int = 15) -> Column:
     """Distinct terms of answer and explanation, then two-word terms of the answer; first ``limit``."""
-    stop = F.array(*[F.lit(w) for w in (rules.CONCEPT_STOPWORDS if stopwords is None else stopwords)])
+    stop = F.array(*[F.lit(w) for w in (rules.CONCEPT_STOPWORDS if stopwords is None else stopwords)]).cast("array<string>")
 
     def terms(c):
         return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(1))

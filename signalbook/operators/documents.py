@@ -53,6 +53,8 @@ def chunk(df: DataFrame, key="doc_id", text="text", size: int = 512, overlap: in
 
 # --- templates -------------------------------------------------------------------------------
 def pick(templates: list[str], seed: Column) -> Column:
+    if not templates:
+        return F.lit(None).cast("string")
     return F.get(F.array(*[F.lit(t) for t in templates]), (seed % len(templates)).cast("int"))
 
 
@@ -105,7 +107,7 @@ def fan_out(df: DataFrame, k: int) -> DataFrame:
 
 def prompt_variants(df: DataFrame, question: str, templates=None) -> DataFrame:
     forms = [fill(F.lit(t), {"question": F.col(question)}) for t in (rules.PROMPT_VARIANTS if templates is None else templates)]
-    return df.select("*", F.posexplode(F.array(*forms)).alias("variant", "instruction"))
+    return df.select("*", F.posexplode(F.array(*forms).cast("array<string>")).alias("variant", "instruction"))
 
 
 def mcq_forms(df: DataFrame, question="question", choices="choices", answer="answer", explanation="explanation") -> DataFrame:
