@@ -103,11 +103,17 @@ def impact(df: DataFrame, by: list[str]) -> DataFrame:
     """Degraded cells and sites, users on them and samples beyond a limit, per group."""
     bad = is_degraded(F.col("status"))
     beyond = (F.col("erab_drop_rate_pct") > 2) | (F.col("rrc_setup_success_pct") < 95) | (F.col("sinr_avg_db") < 5)
-    return df.groupBy(*by).agg(
-        F.count_distinct(F.when(bad, F.col("cell_id"))).alias("cells_affected"),
-        F.sum(F.when(bad, F.col("connected_ues")).otherwise(0)).cast("long").alias("users_affected"),
-        F.count_if(bad & beyond).alias("kpis_beyond"),
-        F.count_distinct(F.when(bad, F.col("site_id"))).alias("sites_affected"))
+    # One row per cell first, so that the distinct counts work on cells instead of samples.
+    cells = df.groupBy(*dict.fromkeys([*by, "cell_id", "site_id"])).agg(
+        F.count_if(bad).alias("_bad"),
+        F.sum(F.when(bad, F.col("connected_ues")).otherwise(0)).alias("_users"),
+        F.count_if(bad & beyond).alias("_beyond"))
+    hit = F.col("_bad") > 0
+    return cells.groupBy(*by).agg(
+        F.count_distinct(F.when(hit, F.col("cell_id"))).alias("cells_affected"),
+        F.sum("_users").cast("long").alias("users_affected"),
+        F.sum("_beyond").alias("kpis_beyond"),
+        F.count_distinct(F.when(hit, F.col("site_id"))).alias("sites_affected"))
 
 
 # --- alarms ----------------------------------------------------------------------------------

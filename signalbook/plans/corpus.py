@@ -445,6 +445,25 @@ def eval_overlap(spark, sf):
     return similarity.drop_eval_overlap(rows, b).select("row_id")
 
 
+# Every tenth text gets an item inserted in its middle.
+@query("c4_contained_items", f"""WITH n AS (SELECT count(*) AS n FROM benchmark),
+q AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(d.text, d.n_chars // 2) || ' ' || lower(b.text) || ' ' || substring(d.text, d.n_chars // 2 + 1) ELSE d.text END AS question
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = (d.doc_id // 10) % (SELECT n FROM n)),
+qw AS (SELECT doc_id, string_split_regex(lower({strip_sql('question')}), '\\s+') AS w FROM q), bw AS (SELECT item_id, string_split_regex(lower({strip_sql('text')}), '\\s+') AS w FROM benchmark),
+qg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM qw)),
+bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM bw)),
+t AS (SELECT item_id, count(*) AS total FROM bg GROUP BY 1), f AS (SELECT doc_id, item_id, count(*) AS found FROM qg JOIN bg USING (g) GROUP BY 1, 2)
+  SELECT doc_id AS row_id, item_id, found, total FROM f JOIN t USING (item_id) WHERE found >= 0.5 * total""")
+def contained(spark, sf):
+    b = table(spark, sf, "benchmark")
+    d = table(spark, sf, "documents").join(
+        b.select(F.col("item_id"), F.col("text").alias("item")), F.floor(F.col("doc_id") / 10) % b.agg(F.count(F.lit(1))).scalar() == F.col("item_id"), "left")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    planted = F.concat(F.substring("text", F.lit(1), half), F.lit(" "), F.lower("item"), F.lit(" "), F.substring(F.col("text"), half + 1, F.length("text")))
+    q = F.when(F.col("doc_id") % 10 == 0, planted).otherwise(F.col("text"))
+    return similarity.contained_items(d.select(F.col("doc_id").alias("row_id"), q.alias("question")), b)
+
+
 @query("u2_except_rows", f"WITH {_EXACT} SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT dup_row FROM ex)")
 def except_rows(spark, sf):
     bad = dedup.exact_dups(_questions(spark, sf)).select(F.col("dup_row").alias("doc_id"))

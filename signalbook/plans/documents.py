@@ -10,7 +10,7 @@ from signalbook.operators import dedup, mix, similarity
 from signalbook.operators import documents as docs
 from signalbook.plans.catalog import query, table
 from signalbook.plans.corpus import _GRAMS
-from signalbook.plans.fixtures import SOURCES_SQL, new_and_base, sql_text, strip_sql
+from signalbook.plans.fixtures import CHAT_SQL, SOURCES_SQL, chat, new_and_base, sql_text, strip_sql
 from signalbook.sources import chat as chat_io
 from signalbook.sources import specs
 
@@ -34,6 +34,49 @@ def inventory(spark, sf):
     return specs.file_inventory(spark, sf)
 
 
+@query("a5_inventory", r"""WITH f AS (SELECT lower(regexp_extract(string_split(url, '/')[-1], '^.+(\.[^.]+)$', 1)) AS extension, length(html) AS size FROM pages)
+  SELECT coalesce(extension, '') AS extension, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM f GROUP BY 1
+  UNION ALL SELECT NULL, count(*), coalesce(sum(size), 0)::BIGINT FROM f""")
+def inventory_rows(spark, sf):
+    pages = table(spark, sf, "pages").select("url", F.length("html").alias("size"))
+    return specs.inventory(pages, "url", "size")
+
+
+# Some lines are broken or hold a list, as real files do.
+_CHAT_LINE = f"""lines AS (SELECT row_id, messages, category, CASE WHEN row_id % 11 = 3 THEN 'broken' WHEN row_id % 13 = 4 THEN 'list' ELSE 'fine' END AS kind FROM chat)"""
+
+
+@query("a1_parse_chat", f"""WITH {CHAT_SQL}, {_CHAT_LINE} SELECT row_id, kind <> 'broken' AS parse_ok,
+  CASE WHEN kind = 'list' THEN 'not a dict' END AS issue, CASE WHEN kind = 'fine' THEN len(messages) END AS n_messages,
+  CASE WHEN kind = 'fine' THEN category END AS category, CASE WHEN kind = 'fine' THEN messages[-1].content END AS last_text FROM lines""")
+def parse_lines(spark, sf):
+    made = chat_io.chat_lines(chat(spark, sf), "row_id")
+    value = F.when(F.col("row_id") % 11 == 3, F.lit('{"messages": [')).when(F.col("row_id") % 13 == 4, F.lit("[1, 2]")).otherwise(F.col("value"))
+    parsed = chat_io.parse_chat(made.select("row_id", value.alias("value")))
+    return parsed.select(
+        "row_id", "parse_ok", "issue", F.size("messages").cast("long").alias("n_messages"), "category",
+        F.element_at("messages", -1)["content"].alias("last_text"))
+
+
+@query("a2_chat_lines", f"""WITH {CHAT_SQL} SELECT row_id, CASE WHEN category IS NULL THEN to_json({{'messages': messages}})
+  ELSE to_json({{'category': category, 'messages': messages}}) END::VARCHAR AS value FROM chat""")
+def lines_of_chats(spark, sf):
+    return chat_io.chat_lines(chat(spark, sf), "row_id")
+
+
+@query("a9_rows_to_append", f"WITH {SOURCES_SQL} SELECT DISTINCT md5(question) AS key FROM newq WHERE md5(question) NOT IN (SELECT md5(question) FROM baseq WHERE question IS NOT NULL)")
+def to_append(spark, sf):
+    new, base = (df.select(F.md5("question").alias("key")) for df in new_and_base(spark, sf))
+    return chat_io.rows_to_append(new, base, "key")
+
+
+@query("a10_report", """SELECT '{"rows":' || count(*) || ',"chars":' || sum(n_chars)::BIGINT || ',"languages":' || count(DISTINCT lang) || '}' AS value FROM documents""")
+def report(spark, sf):
+    metrics = table(spark, sf, "documents").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct("lang").alias("languages"))
+    return chat_io.report_document(metrics)
+
+
 @query("a6_top_dirs", f"WITH {_PATHS} SELECT DISTINCT p[1] AS dir FROM ps WHERE contains(path, '/') AND NOT starts_with(p[1], '.')")
 def top_dirs(spark, sf):
     return specs.top_dirs(_paths(spark, sf), "path")

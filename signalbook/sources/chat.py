@@ -28,7 +28,11 @@ def read_chat(spark: SparkSession, path: str) -> DataFrame:
 
     ``issue`` marks JSON values that are not objects.
     """
-    lines = read_lines(spark, path)
+    return parse_chat(read_lines(spark, path))
+
+
+def parse_chat(lines: DataFrame) -> DataFrame:
+    """Chat records of numbered JSON lines (row_id, value), one row per line."""
     parsed = lines.select(
         "row_id", F.try_parse_json("value").alias("v"),
         F.from_json("value", CHAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"))
@@ -48,20 +52,36 @@ def write_chat(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
+def chat_lines(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``value``: the other columns as one JSON object, as ``write_chat`` stores them."""
+    fields = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value"))
+
+
+def report_document(metrics: DataFrame) -> DataFrame:
+    """value: one-row metrics as a JSON document."""
+    return metrics.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def write_report(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One-row metrics as a single JSON document."""
-    metrics.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode(mode).text(path)
+    report_document(metrics).coalesce(1).write.mode(mode).text(path)
+
+
+def rows_to_append(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key ``stored`` does not hold, one row per key."""
+    return df.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
 def append_new(df: DataFrame, target: str, key: str) -> None:
     """Append the rows whose key the Parquet table at ``target`` does not hold yet, one row per key."""
-    df = df.dropDuplicates([key])
     try:
-        df = df.join(df.sparkSession.read.parquet(target).select(key), key, "left_anti")
+        rows = rows_to_append(df, df.sparkSession.read.parquet(target), key)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    df.write.mode("append").parquet(target)
+        rows = df.dropDuplicates([key])
+    rows.write.mode("append").parquet(target)
 
 
 def union_sources(sources: dict[str, DataFrame | None]) -> DataFrame:

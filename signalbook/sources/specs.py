@@ -25,18 +25,34 @@ def read_specs(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown files below ``folder`` with the metadata of their path."""
     files = (
         spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder))
-    root = folder.rstrip("/").split("://")[-1]
-    relative = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), root.replace(".", r"\.") + "/", 2), -1), "%20", " ")
+    # Paths come URL-encoded; a plus sign stands for itself there.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    relative = F.substring(path, F.locate(root, path) + len(root), F.length(path))
     return files.select(F.col("value").alias("text"), relative.alias("_rel")).withColumns(path_metadata(F.col("_rel"))).drop("_rel")
 
 
-def file_inventory(spark: SparkSession, folder: str, top: int = 20) -> DataFrame:
-    """Files and bytes per lower-cased extension, the ``top`` most frequent; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
+def inventory(df: DataFrame, path: str, size: str) -> DataFrame:
+    """Files and bytes per lower-cased extension; the row without an extension (null) holds the totals.
+
+    Files whose name has no extension are under the empty one. An empty table gives no row.
+    """
+    name = F.element_at(F.split(F.col(path), "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1))
-    return files.groupBy(ext.alias("extension")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("files"), "extension").limit(top)
+    return df.select(F.coalesce(ext, F.lit("")).alias("extension"), F.col(size).alias("_size")).rollup("extension").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("_size"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def file_inventory(spark: SparkSession, folder: str, top: int = 20, totals: bool = False) -> DataFrame:
+    """Files and bytes of the ``top`` most frequent extensions, with ``totals`` also of all files (extension null).
+
+    Contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    counts = inventory(files, "path", "length")
+    every, each = counts.filter(F.col("extension").isNull()), counts.filter(F.col("extension").isNotNull())
+    most = each.orderBy(F.desc("files"), "extension").limit(top)
+    return every.union(most) if totals else most
 
 
 def top_dirs(df: DataFrame, path: str) -> DataFrame:

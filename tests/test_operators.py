@@ -314,3 +314,29 @@ def test_knn_without_queries_and_with_null_vectors(spark):
     queries = spark.createDataFrame([(9, [1.0, 1.0]), (8, None)], "query_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in documents.knn(queries, vectors, 3).collect()] == [(9, 1)]
     assert documents.knn(queries.filter("false"), vectors, 3).count() == 0
+
+
+def test_spec_paths_with_odd_names(spark, tmp_path):
+    folder = tmp_path / "c++ x"
+    (folder / "R1" / "s 2").mkdir(parents=True)
+    (folder / "R1" / "s 2" / "b#1+2.md").write_text("text")
+    row = specs.read_specs(spark, str(folder)).collect()[0]
+    assert (row["release"], row["series"], row["filename"], row["source"]) == ("R1", "s 2", "b#1+2.md", "R1/s 2/b#1+2.md")
+
+
+def test_contained_items(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame(
+        [(1, f"Lead  words {item.upper()} and more"), (2, "one two three four five six seven"), (3, None), (4, ""), (5, item)], "row_id long, question string")
+    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
+    got = {tuple(r) for r in similarity.contained_items(docs, items).collect()}
+    assert got == {(1, 7, 3, 3), (5, 7, 3, 3)}
+    assert similarity.contained_items(docs.filter("false"), items).count() == 0
+    assert similarity.contained_items(docs, items.filter("false")).count() == 0
+
+
+def test_inventory(spark):
+    df = spark.createDataFrame([("a/b.TXT", 3), ("a/c.txt", 4), ("a/.hidden", 1), ("d", None), (None, 2)], "p string, n long")
+    got = {tuple(r) for r in specs.inventory(df, "p", "n").collect()}
+    assert got == {(".txt", 2, 7), ("", 3, 3), (None, 5, 10)}
+    assert [tuple(r) for r in specs.inventory(df.filter("false"), "p", "n").collect()] == []
