@@ -5,8 +5,9 @@ the sum over all its segmentations into pieces, computed by the forward recursio
 
     a(0) = 1,   a(e) = sum over pieces x[s:e] of a(s) * p(x[s:e])
 
-for all languages at once; that of a text is the product over its words. Words repeat, so each distinct
-chunk is scored once per worker.
+for all languages at once; that of a text is the product over its words. Pieces and words may be of any
+length: a trie over the pieces finds those at every letter, and the recursion is rescaled along long words.
+Words repeat, so each distinct chunk is scored once per worker.
 """
 
 from __future__ import annotations
@@ -25,29 +26,22 @@ from signalbook.llm.sentencepiece_codec import MARK, NORMAL, read_model
 
 UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-# Longest piece, and longest run of letters scored at once (longer runs are cut, so that products of
-# probabilities stay within double precision).
-_PIECE, _WORD = 8, 24
+# Letters of a word up to which products of probabilities stay within double precision, and the letters between two
+# rescalings behind them.
+_SAFE, _RESCALE = 24, 8
+_PART = 200_000  # letters scored together, for up to eight languages
 _UNSEEN = 1e-7  # probability of a character outside the vocabulary, in every language
 
 
 def words_of(chunk: str) -> list[str]:
-    """Runs of letters in lower case behind a word marker, long ones in pieces."""
-    found = []
-    for run in _RUN.findall(chunk.lower()):
-        found += [(MARK if at == 0 else "") + run[at : at + _WORD] for at in range(0, len(run), _WORD)]
-    return found
+    """Runs of letters in lower case behind a word marker."""
+    return [MARK + run for run in _RUN.findall(chunk.lower())]
 
 
 def vocabulary(model_file: str) -> list[str]:
     """Lower-case letter pieces of a piece model, with or without the word marker in front."""
     pieces = {p.lower() for p, _, kind in read_model(model_file).pieces if kind == NORMAL}
-    return sorted(p for p in pieces if len(p) <= _PIECE and (p == MARK or _RUN.fullmatch(p.removeprefix(MARK))))
-
-
-def _codes(words: list[str], width: int) -> np.ndarray:
-    return np.array([[ord(c) for c in w] for w in words], np.uint64).reshape(len(words), width)
+    return sorted(p for p in pieces if p == MARK or _RUN.fullmatch(p.removeprefix(MARK)))
 
 
 class Forward:
@@ -55,48 +49,118 @@ class Forward:
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
         """``probabilities``: one row per piece, one column per language."""
-        hashes = np.zeros(len(pieces), np.uint64)
-        for i, p in enumerate(pieces):
-            h = np.uint64(0)
-            for c in p:
-                h = self._step(h, np.uint64(ord(c)))
-            hashes[i] = h
-        order = np.argsort(hashes)
-        self._hashes = hashes[order]
-        # The last rows: a character that is no piece, and a string that is no piece.
-        self._rows = np.vstack([probabilities[order], np.full((1, probabilities.shape[1]), _UNSEEN), np.zeros((1, probabilities.shape[1]))])
-
-    @staticmethod
-    def _step(h, code):
-        with np.errstate(over="ignore"):
-            return (h + code + np.uint64(1)) * _BASE ^ (h >> np.uint64(29))
-
-    def _probability(self, h: np.ndarray, single: bool) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self._hashes, h), len(self._hashes) - 1)
-        return self._rows[np.where(self._hashes[at] == h, at, len(self._hashes) + (0 if single else 1))]
+        self.longest = max(map(len, pieces), default=1)
+        # A trie: node and next letter lead to a node; nodes that end a piece have its row.
+        children: dict[int, int] = {}
+        row_of = [-1]
+        for row, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = children.setdefault(node << 21 | ord(c), len(row_of))
+                if node == len(row_of):
+                    row_of.append(-1)
+            row_of[node] = row
+        keys = np.fromiter(children, np.int64, len(children))
+        order = np.argsort(keys)
+        # The last key is behind all others.
+        self._keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self._nodes = np.append(np.fromiter(children.values(), np.int64, len(children))[order], 0)
+        self._row_of = np.array(row_of)
+        # The last row: a character that is no piece.
+        self._rows = np.vstack([probabilities, np.full((1, probabilities.shape[1]), _UNSEEN)])
+
+    def _found(self, codes: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, lengths and rows of all pieces in ``codes``; ``rest``: letters from each place to the end of its word."""
+        starts, nodes, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        for length in range(1, self.longest + 1):
+            inside = rest[starts] >= length
+            starts, nodes = starts[inside], nodes[inside]
+            keys = nodes << 21 | codes[starts + length - 1]
+            at = np.searchsorted(self._keys, keys)
+            known = self._keys[at] == keys
+            if length == 1:
+                rows = np.where(known, self._row_of[self._nodes[at]], -1)
+                found.append((starts, np.where(rows < 0, len(self._rows) - 1, rows)))
+            starts, nodes = starts[known], self._nodes[at[known]]
+            if length > 1:
+                rows = self._row_of[nodes]
+                found.append((starts[rows >= 0], rows[rows >= 0]))
+            if not len(starts):
+                break
+        lengths = np.repeat(np.arange(1, len(found) + 1), [len(f[0]) for f in found])
+        return np.concatenate([f[0] for f in found]), lengths, np.concatenate([f[1] for f in found])
+
+    def _advance(self, words: list[str], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The recursion over words from the longest to the shortest, none empty.
+
+        ``before``: its values at the first places of each word, known already (words x places x languages).
+        Gives the last values of each word, as many places back as pieces reach, and the logarithms of their scales.
+        """
+        known, n = before.shape[1], len(self._rows[0])
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - first[word]
+        starts, lengths, rows = self._found(codes, sizes[word] - place)
+        ends = place[starts] + lengths
+        # A word has a value more than letters.
+        base = first + np.arange(len(words))
+        new = ends >= known
+        starts, lengths, rows, ends = starts[new], lengths[new], rows[new], ends[new]
+        source = starts + word[starts]
+        order = np.lexsort((source + lengths, ends))
+        source, rows, target, ends = source[order], rows[order], (source + lengths)[order], ends[order]
+        group = np.flatnonzero(np.diff(target, prepend=-1))
+        steps = np.arange(known, sizes[0] + 2)
+        bounds = np.searchsorted(ends, steps)
+        groups = np.searchsorted(ends[group], steps)
+        alive = len(words) - np.searchsorted(sizes[::-1], steps)
+        reach = np.zeros((len(codes) + len(words), n))
+        reach[(base[:, None] + np.arange(known)).ravel()] = before.reshape(-1, n)
+        scale = np.zeros((len(words), n))
+        for k, end in enumerate(steps[:-1]):
+            low, high = bounds[k], bounds[k + 1]
+            places = group[groups[k] : groups[k + 1]]
+            reach[target[places]] = np.add.reduceat(reach[source[low:high]] * self._rows[rows[low:high]], places - low)
+            if end >= _SAFE and end % _RESCALE == 0:
+                last = base[: alive[k]] + end
+                by = np.where(reach[last] > 0, reach[last], 1.0)
+                window = last[:, None] - np.arange(min(end + 1, self.longest))
+                reach[window] /= by[:, None]
+                scale[: alive[k]] += np.log(by)
+        back = min(self.longest, sizes[-1] + 1)
+        return reach[(base + sizes)[:, None] + np.arange(1 - back, 1)], scale
 
     def log_likelihood(self, words: list[str]) -> np.ndarray:
         """One row per word, one column per language."""
-        out = np.empty((len(words), self._rows.shape[1]))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for width, members in by_length.items():
-            for k in range(0, len(members), 20_000):
-                part = members[k : k + 20_000]
-                codes = _codes([words[i] for i in part], width)
-                reach = [np.ones((len(part), self._rows.shape[1]))]
-                running: list[np.ndarray] = []  # hashes of the strings that end here, by start
-                for end in range(1, width + 1):
-                    running = [np.zeros(len(part), np.uint64), *running][:_PIECE]
-                    running = [self._step(h, codes[:, end - 1]) for h in running]
-                    total = 0.0
-                    for back, h in enumerate(running, 1):
-                        total = total + reach[end - back] * self._probability(h, back == 1)
-                    reach.append(total)
-                out[part] = np.log(reach[width])
+        n = self._rows.shape[1]
+        out, limit = np.zeros((len(words), n)), max(_PART * 8 // max(8, n), 4 * self.longest)
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+        at = 0 if n else len(order)
+        while at < len(order):
+            if len(words[order[at]]) > limit:
+                out[order[at]] = self._long(words[order[at]], limit)
+                at += 1
+                continue
+            until, letters = at, 0
+            while until < len(order) and letters + len(words[order[until]]) <= limit:
+                letters += len(words[order[until]])
+                until += 1
+            part = order[at:until]
+            last, scale = self._advance([words[i] for i in part], np.ones((len(part), 1, n)))
+            out[part] = np.log(last[:, -1]) + scale
+            at = until
         return out
 
+    def _long(self, word: str, limit: int) -> np.ndarray:
+        """One word in stretches: each starts from the values that pieces reach back to."""
+        values, total, start = np.ones((1, 1, self._rows.shape[1])), 0.0, 0
+        for end in range(limit, len(word) + limit, limit):
+            values, scale = self._advance([word[start:end]], values)
+            total, start = total + scale[0], min(end, len(word)) - values.shape[1] + 1
+        return np.log(values[0, -1]) + total
+
 
 @dataclass
 class LanguageModel:
@@ -174,7 +238,7 @@ def _piece_counts(piece_file: str):
         for batch in batches:
             counts: Counter = Counter()
             for lang, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words = Counter(w for w in words_of(value))
+                words = Counter(words_of(value))
                 names = list(words)
                 for name, found in zip(names, library.encode([w.removeprefix(MARK) for w in names], out_type=str, num_threads=1)):
                     for piece in found:

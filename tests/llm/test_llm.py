@@ -173,6 +173,33 @@ def test_language_forward():
     assert np.allclose(np.exp(language_id.Forward(pieces, p).log_likelihood(words)), [total(w) for w in words])
 
 
+def test_language_long_pieces(spark):
+    """No piece is left out for its length, neither in training nor in the sum; long words are not cut."""
+    pieces = language_id.vocabulary(PIECES)
+    assert "▁considered" in pieces and "▁administration" in pieces and max(map(len, pieces)) > 12
+    rows = [(i, "considered it" if i % 2 else "taken it", "xy"[i % 2]) for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES)
+    x, y = model.probabilities[pieces.index("▁considered")]
+    assert y > 50 * x
+    by_name = dict(zip(pieces, model.probabilities))
+    longest, odd = max(map(len, pieces)), np.full(2, language_id._UNSEEN)
+
+    def log_total(word):
+        at = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            found = [(s, by_name.get(word[s:end], odd if end - s == 1 else None)) for s in range(max(0, end - longest), end)]
+            at.append(np.logaddexp.reduce([at[s] + np.log(p) for s, p in found if p is not None]))
+        return at[-1]
+
+    words = ["▁considered", "▁administrationeinwohner", "▁a", "▁" + "consideredadministration" * 60, "▁" + "x" * 900, "▁日本語" * 30]
+    assert language_id.words_of("X" * 900) == ["▁" + "x" * 900]
+    want = [log_total(w) for w in words]
+    assert np.allclose(language_id.Forward(pieces, model.probabilities).log_likelihood(words), want)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "_PART", 100)
+        assert np.allclose(language_id.Forward(pieces, model.probabilities).log_likelihood(words), want)
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
