@@ -34,6 +34,7 @@ CLOSES = {
     "tbody": ({"tr", "td", "th", "tbody", "thead"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody", "thead"}, {"table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+LABELS = {"label", "legend", "option", "optgroup", "output"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Elements and roles that are never part of an article, and words of classes and ids that name such parts.
@@ -58,6 +59,7 @@ class Node:
     parent: Node | None
     depth: int
     outside: bool = False  # by its tag, role or visibility
+    form: bool = False  # outside as a form only, which a form around most of the page is not
     named_outside: bool = False  # by its class or id
     named_inside: bool = False
     holds_main: bool = False  # an article or main element is below
@@ -82,11 +84,14 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
         role = found.get("role", "").lower()
         names = {w.lower() for w in _NAME.findall(found.get("class", "") + " " + found.get("id", ""))}
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        node.outside = role in OUTSIDE_ROLES or bool(hidden)
+        node.outside = role in OUTSIDE_ROLES - {"form"} or bool(hidden)
+        node.form = role == "form"
         node.in_main = node.in_main or role == "main" or found.get("itemprop", "").lower() == "articlebody"
         node.named_outside = bool(names & OUTSIDE_WORDS)
         node.named_inside = bool(names & INSIDE_WORDS)
-    node.outside = node.outside or tag in OUTSIDE or tag == "header" and not parent.in_main
+    node.outside = node.outside or tag in OUTSIDE - {"form"} or tag == "header" and not parent.in_main
+    node.form = (node.form or tag == "form") and not node.outside
+    node.outside = node.outside or node.form
     if node.in_main and not parent.in_main:
         above = parent
         while above is not None and not above.holds_main:
@@ -169,6 +174,26 @@ def _above(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
+def _open_forms(blocks: list[Block], texts: list[str]) -> None:
+    """Forms with over half of the page's text are plain containers, unless most of their text is labels."""
+    if not any(n.form for b in blocks for n in _above(b.node)):
+        return
+    total = 0
+    inside: dict[int, list] = {}  # form, its text without labels, its labels
+    for block, text in zip(blocks, texts):
+        above = list(_above(block.node))
+        if any(n.outside and not n.form and not n.holds_main for n in above):
+            continue
+        label = any(n.tag in LABELS for n in above)
+        total += 0 if label else len(text)
+        for n in above:
+            if n.form:
+                inside.setdefault(id(n), [n, 0, 0])[1 + label] += len(text)
+    for node, plain, labels in inside.values():
+        if plain > max(0.5 * total, labels):
+            node.form = node.outside = False
+
+
 @dataclass
 class Page:
     """What the classifier knows of the whole page."""
@@ -179,6 +204,7 @@ class Page:
 
     @classmethod
     def of(cls, blocks: list[Block], texts: list[str]) -> Page:
+        _open_forms(blocks, texts)
         total = 0
         for block, text in zip(blocks, texts):
             above = list(_above(block.node))

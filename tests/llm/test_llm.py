@@ -56,6 +56,18 @@ def test_html_rules():
         assert isinstance(html_extract.main_text(broken), str)
 
 
+def test_html_form_around_the_page():
+    """A form that holds most of the text is a container; small forms and forms of labels stay outside."""
+    text = "The council met on Tuesday to discuss the budget, and it took hours to agree on it."
+    content = f"<div id=content><h1>Budget</h1><p>{text}</p><p>{text}</p></div>"
+    for attributes in ("id=aspnetForm", "role=form"):
+        page = f"<body><form {attributes}><div id=menu><a href=/>Home</a></div><nav><a href=/n>News</a></nav>{content}<div id=footer>Copyright by us.</div></form></body>"
+        assert html_extract.main_text(page) == f"Budget\n{text}\n{text}"
+    assert html_extract.main_text(f"<body>{content}<form><p>Tell us what you think of this page, we read it all.</p></form></body>") == f"Budget\n{text}\n{text}"
+    assert html_extract.main_text("<body><form><label>Your name and full postal address.</label><label>Your telephone number, please.</label><p>Fill it in.</p></form></body>") == ""
+    assert html_extract.main_text(f"<body><form hidden>{content}</form></body>") == ""
+
+
 def test_html_cut_is_minimal():
     """The flow's labels cost no more than any other labelling of a small page."""
     random.seed(3)
