@@ -22,11 +22,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object canvas audio video xmp noembed noframes".split())
+RAW = set("script style noscript template textarea title iframe object canvas audio video noembed noframes".split())
+# Foreign content that is not read, tags that end it if it was left open, and elements in it that hold HTML again.
+FOREIGN = {"svg", "annotation", "annotation-xml"}
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
-    "select summary table tbody td tfoot th thead tr ul".split())
+    "select summary table tbody td tfoot th thead tr ul xmp".split())
 # A tag closes these open ones, within the given borders.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -50,6 +56,8 @@ INSIDE_WORDS = set("article articlebody content post entry story main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SKIPPED = re.compile(r"<!\[CDATA\[.*?\]\]>|<(script|style)\b[^>]*(?<!/)>.*?</\1\b[^>]*>", re.I | re.S)
+_XMP_END = re.compile(r"</xmp\b[^>]*>", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -100,6 +108,25 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
     return node
 
 
+def _foreign_end(page: str, at: int, tag: str) -> int:
+    """Where the foreign element opened before ``at`` ends: at its own end tag, nested ones matched, or before the
+    HTML that ends an open one."""
+    depth, html_inside = 1, int(tag in HTML_INSIDE)
+    while match := _SKIPPED.match(page, at) or _TOKEN.match(page, at):
+        name = (match[2] or match[5] or "").lower() if match.re is _TOKEN else ""
+        closing = name and (match[1] or match[4])
+        if name == tag and (closing or not match[0].endswith("/>")):
+            depth += -1 if closing else 1
+            if not depth:
+                return match.end()
+        elif name in HTML_INSIDE and (closing or not match[0].endswith("/>")):
+            html_inside = max(0, html_inside + (-1 if closing else 1))
+        elif not html_inside and (name in BLOCK or name == "p" if closing else name in BREAKOUT):
+            return match.start()
+        at = match.end()
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page in order; unclosed and misplaced tags are mended as browsers do."""
     here = root = Node("", None, 0)
@@ -146,6 +173,10 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCK:
                 current = None
             continue
+        if tag in FOREIGN and (tag == "svg" or any(n.tag == "math" for n in _above(here))):
+            if not match[0].endswith("/>"):
+                at = _foreign_end(page, at, tag)
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -162,6 +193,12 @@ def blocks_of(page: str) -> list[Block]:
             leave(hit)
         if tag == "a" and (hit := nearest({"a"}, {"td", "th", "table"})):
             leave(hit)
+        if tag == "xmp":  # its text is neither markup nor references
+            end = _XMP_END.search(page, at)
+            found.append(Block(_open(tag, match[3] or match[6] or "", here), [page[at : end.start() if end else len(page)]]))
+            found[-1].linked = len(found[-1].parts[0].strip()) if links else 0
+            at = end.end() if end else len(page)
+            continue
         if tag not in VOID and not match[0].endswith("/>"):
             here = _open(tag, match[3] or match[6] or "", here)
             links += tag == "a"

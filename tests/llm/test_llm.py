@@ -68,6 +68,21 @@ def test_html_form_around_the_page():
     assert html_extract.main_text(f"<body><form hidden>{content}</form></body>") == ""
 
 
+def test_html_foreign_and_preformatted():
+    """Self-closed and nested svg swallow no text; formulas and xmp are text."""
+    page = lambda x: f"<body><article><p>One two three four five.</p>{x}<p>Six seven eight nine ten.</p></article></body>"
+    plain = "One two three four five.\nSix seven eight nine ten."
+    for gone in ("<svg/>", "<svg width='4' />", "<math/>", "<svg><g><svg><text>a</text></svg><text>b</text></g></svg>", "<svg><svg/><text>a</text></svg>",
+                 "<SVG><title>t</title><foreignObject><p>a</p></foreignObject></SVG>", "<div><svg><path d='M0'></div>", "<svg><path>",
+                 "<svg><script>if (a<b && c>d) x</script><style><![CDATA[</svg> <p>]]></style></svg>", "<svg><!-- </svg> --><text>a</text></svg>"):
+        assert html_extract.main_text(page(gone)) == plain, gone
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='x'>E = m\\frac</annotation></semantics></math>"
+    assert html_extract.main_text(page(f"<p>It holds that {formula} for all of them.</p>")) == plain.replace("\n", "\nIt holds that E=m for all of them.\n")
+    assert html_extract.main_text(page("<p>The page says.<xmp>use <b>bold</b> &amp; more of it.</XMP>")) == plain.replace(
+        "\n", "\nThe page says.\nuse <b>bold</b> &amp; more of it.\n")
+    assert html_extract.main_text("<article><p>One two three four five.</p><xmp>never <i>closed here.") == "One two three four five.\nnever <i>closed here."
+
+
 def test_html_cut_is_minimal():
     """The flow's labels cost no more than any other labelling of a small page."""
     random.seed(3)
