@@ -23,8 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the lines found on over a tenth of their source's documents; ``n_chars`` follows the text."""
-    done = line_dedup.drop_site_lines(docs)
+    """Drop the lines found in over a tenth of their source's distinct texts; ``n_chars`` follows the text. Copies of a
+    document are left whole for the next stage, which keeps one of them."""
+    done = line_dedup.drop_site_lines(docs, copies_once=True)
     chars = F.when(F.col("_lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return done.withColumn("n_chars", chars).drop("_lines_dropped")
 

@@ -5,6 +5,9 @@ boilerplate and are dropped from all pages of that host. DataFrame functions onl
 
 Lines are counted by a 128-bit hash, a page counting once however often it has the line. Counting is
 partial before the shuffle, by (host, line), so a host with a third of all pages is spread over its lines.
+
+Copies of a whole page are no evidence of boilerplate. With ``copies_once`` a line counts once per distinct text of
+the host, over the distinct texts of the host, so copies keep what only they have and stay for deduplication.
 """
 
 from __future__ import annotations
@@ -23,16 +26,26 @@ def line_key(line: Column) -> Column:
 
 def site_lines(
     pages: DataFrame, ratio: float = 0.1, min_pages: int = 5, page: str = "doc_id", text: str = "text", host: str = "source",
+    copies_once: bool = False,
 ) -> DataFrame:
     """host, key, pages, host_pages of the lines on more than ``ratio`` of a host's pages.
 
     Empty lines are never boilerplate, nor are lines on fewer than ``min_pages`` pages, so that small hosts
-    lose nothing for being small. Pages without a host form one host of their own.
+    lose nothing for being small. Pages without a host form one host of their own. ``copies_once``: pages of a
+    host with the same text are one page.
     """
     rows = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host"), F.col(text).alias("text"))
-    totals = rows.groupBy("host", "no_host").agg(F.count(F.lit(1)).alias("host_pages"))
+    own = F.coalesce("text", F.lit(""))
+    # 128 bits of the text: equal texts are one page.
+    whole = [F.xxhash64(own).alias("text_a"), F.xxhash64(F.lit("text"), own).alias("text_b")]
+    counted = rows.select("host", "no_host", *whole).distinct() if copies_once else rows
+    totals = counted.groupBy("host", "no_host").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    keys = rows.select("host", "no_host", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
+    found = rows.select("host", "no_host", *(whole if copies_once else []), F.array_distinct(F.transform(lines, line_key)).alias("keys"))
+    if copies_once:
+        # Copies have the same lines, so one array of each text moves, not its lines.
+        found = found.groupBy("host", "no_host", "text_a", "text_b").agg(F.first("keys").alias("keys"))
+    keys = found.select("host", "no_host", F.explode("keys").alias("key"))
     counts = keys.groupBy("host", "no_host", "key").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     return (
         counts.join(totals, ["host", "no_host"])
@@ -43,15 +56,17 @@ def site_lines(
 
 def drop_site_lines(
     pages: DataFrame, ratio: float = 0.1, min_pages: int = 5, page: str = "doc_id", text: str = "text", host: str = "source",
+    copies_once: bool = False,
 ) -> DataFrame:
     """``pages`` with the boilerplate lines of their host removed from ``text``; all columns and rows stay.
 
     Adds ``_lines_dropped`` (a column of that name is replaced). A page that loses nothing keeps its text as it is, null included; a page of
-    nothing but boilerplate becomes the empty text. Repeated rows count as pages of their own.
+    nothing but boilerplate becomes the empty text. Repeated rows count as pages of their own, unless
+    ``copies_once`` counts pages of one text as one.
     """
     # A line is on more than ``ratio`` of the pages of its host, so a host has at most
     # (lines per page / ratio) such lines.
-    found = site_lines(pages, ratio, min_pages, page, text, host).groupBy("host", "no_host").agg(F.collect_set("key").alias("__line_keys"))
+    found = site_lines(pages, ratio, min_pages, page, text, host, copies_once).groupBy("host", "no_host").agg(F.collect_set("key").alias("__line_keys"))
     marked = join_checked(
         pages.withColumns({"__line_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__line_no_host": F.col(host).isNull()}),
         materialize(found.select(F.col("host").alias("__line_host"), F.col("no_host").alias("__line_no_host"), "__line_keys")),

@@ -134,6 +134,21 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.drop_site_lines(empty).count() == 0
 
 
+def test_line_dedup_copies(spark):
+    """Copies of a document are no boilerplate: the pipeline keeps one of them with its text."""
+    import corpus_pipeline
+
+    clean = "\n".join(f"line {k} of the clean document has words {k} {k + 1}" for k in range(6))
+    rows = [(i, "the menu of the site\n" + (clean if i < 12 else f"own text {i} alone {i * 7} on page {i}"), "en", "s", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = {r["pages"]: r["host_pages"] for r in line_dedup.site_lines(df, copies_once=True).collect()}
+    assert found == {19: 19}  # the menu, in 18 single texts and the copied one
+    done = corpus_pipeline.lines(spark, df, SF)
+    assert {r["doc_id"]: r["text"] for r in done.collect()} == {i: t.split("\n", 1)[1] for i, t, *_ in rows}
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.near_duplicates(spark, done, SF).collect()}
+    assert kept.keys() == {0, *range(12, 30)} and kept[0] == (clean, len(clean))
+
+
 def test_token_counts(odd, empty, documents):
     from tokenizers import Tokenizer
 
