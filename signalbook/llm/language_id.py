@@ -29,7 +29,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 # Letters of a word up to which products of probabilities stay within double precision, and the letters between two
 # rescalings behind them.
 _SAFE, _RESCALE = 24, 8
-_PART = 200_000  # letters scored together, for up to eight languages
+_PART = 32_000  # letters scored together, for up to eight languages
 _UNSEEN = 1e-7  # probability of a character outside the vocabulary, in every language
 
 
