@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signalbook.plans import network as net
 from signalbook.plans.catalog import query, table
 from signalbook.plans.network import NET_SQL, TS
-from signalbook.streaming import jobs
+from signalbook.streaming import jobs, stateful
 
 
 def stream(spark, sf):
@@ -73,3 +73,29 @@ def correlate(spark, sf):
     changes = stream(spark, sf).filter("event_type = 'purchase'").select(
         F.col("event_id").alias("change_id"), "cell_id", F.get(names, F.col("k") % 12).alias("param"), F.col("ts").alias("time"))
     return jobs.run_available(jobs.correlate_stream(changes, _alarms(spark, sf), "6 hours"))
+
+
+@query("t4_usage_in_order", f"""WITH r AS (SELECT user_id AS agent_id, row_number() OVER w AS uses, sum((event_type <> 'error')::INT) OVER w AS wins FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= date_trunc('milliseconds', {_MARK}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT agent_id, max(uses) AS uses, max(wins)::BIGINT AS wins, coalesce(min(CASE WHEN uses >= 2 AND wins / uses >= 0.6 THEN uses END), 0) AS promoted_at_run FROM r GROUP BY agent_id""")
+def usage_ordered(spark, sf):
+    """Usage in event order, up to the last hour that the watermark has closed."""
+    runs = stream(spark, sf).select(
+        F.col("event_id").alias("run_id"), F.col("user_id").alias("agent_id"), F.col("ts").alias("created_at"), (F.col("event_type") != "error").alias("success"))
+    out = jobs.run_available(stateful.usage_in_order(runs))
+    latest = out.groupBy("agent_id").agg(F.max(F.struct("uses", "wins", "promoted_at_run")).alias("s"))
+    return latest.select("agent_id", "s.uses", "s.wins", "s.promoted_at_run")
+
+
+@query("t6_last_change", f"""WITH {NET_SQL}, mark AS (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 1 HOUR) AS m FROM events WHERE event_type IN ('error', 'purchase')),
+  a AS (SELECT event_id AS alarm_id, cell_id, ts FROM ev, mark WHERE event_type = 'error' AND time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= m),
+  x AS (SELECT alarm_id, a.cell_id, change_id, param, date_diff('microsecond', time, ts) // 1000000 AS age_seconds FROM a LEFT JOIN changes c
+    ON a.cell_id = c.cell_id AND c.time <= a.ts AND c.time >= a.ts - INTERVAL 6 HOUR
+    QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY time DESC NULLS LAST, change_id DESC) = 1)
+  SELECT * FROM x""")
+def last_change(spark, sf):
+    """Every alarm of a closed slot with the last change of its cell in the six hours before."""
+    names = F.array(*[F.lit(p) for p, _, _ in net.rules.CONFIG_BASELINE])
+    changes = stream(spark, sf).filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("change_id"), "cell_id", F.get(names, F.col("k") % 12).alias("param"), F.col("ts").alias("time"))
+    return jobs.run_available(stateful.last_change_stream(changes, _alarms(spark, sf)))
