@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signalbook import rules
+
 
 # Lower bound, upper bound and digits per metric (None = unbounded).
 KPI_LIMITS = {
@@ -39,32 +41,36 @@ def is_degraded(status: Column) -> Column:
     return status.isin("DEGRADED", "CRITICAL")
 
 
-def diurnal_baseline(hour: Column) -> Column:
-    """Expected load of an hour of day: three bell curves around 10, 14 and 18 o'clock."""
+def degraded_tags(status: Column, prb: Column, sinr: Column, drop: Column, rrc: Column, ul: Column) -> Column:
+    """Search phrases for a key-figure row, in order; none unless it is degraded. A missing figure gives no phrase."""
+    bad = status == "DEGRADED"
+    found = F.array(
+        F.when(bad & (prb > 80), rules.ISSUE_PHRASES["prb"]), F.when(bad & (sinr < 5), rules.ISSUE_PHRASES["sinr"]),
+        F.when(bad & (drop > 1), rules.ISSUE_PHRASES["drop"]), F.when(bad & (rrc < 95), rules.ISSUE_PHRASES["rrc"]),
+        F.when(bad & (ul > -100), rules.ISSUE_PHRASES["ul"]))
+    return F.filter(found, lambda t: t.isNotNull())
+
+
+def alarm_tags(alarm_type: Column) -> Column:
+    """The search phrase for an alarm, by the first part of its type that is known; at most one."""
+    phrase = F.lit(None).cast("string")
+    for parts, text in reversed(rules.ALARM_PHRASES):
+        hit = alarm_type.contains(parts[0])
+        for part in parts[1:]:
+            hit = hit | alarm_type.contains(part)
+        phrase = F.when(hit, text).otherwise(phrase)
+    return F.filter(F.array(phrase), lambda t: t.isNotNull())
 
-    def bell(weight, center, width):
-        return F.lit(weight) * F.exp(-F.pow(hour - center, F.lit(2)) / width)
 
-    return F.lit(0.2) + F.lit(0.8) * (bell(0.3, 10, 8.0) + bell(0.4, 18, 10.0) + bell(0.3, 14, 20.0))
+def search_text(tags: Column, query: Column, first: int = 3) -> Column:
+    """The first phrases joined, or a generic phrase for the question."""
+    return F.when(F.coalesce(F.size(tags), F.lit(0)) <= 0, F.concat(F.lit(rules.GENERIC_PHRASE), query)).otherwise(
+        F.array_join(F.slice(tags, 1, first), " "))
 
 
 def issue_tags(status: Column, prb: Column, sinr: Column, drop: Column, rrc: Column, ul: Column, alarm_type: Column, query: Column) -> Column:
     """First three search phrases for a degraded sample and an alarm, or a generic phrase."""
-    bad = status == "DEGRADED"
-    tags = F.array(
-        F.when(bad & (prb > 80), "PRB congestion capacity management"),
-        F.when(bad & (sinr < 5), "interference management SINR degradation"),
-        F.when(bad & (drop > 1), "ERAB drop bearer release procedure"),
-        F.when(bad & (rrc < 95), "RRC connection setup failure"),
-        F.when(bad & (ul > -100), "uplink interference detection mitigation"),
-        F.when(alarm_type.contains("INTERFERENCE"), "3GPP interference management procedure")
-        .when(alarm_type.contains("S1") | alarm_type.contains("LINK"), "S1 interface failure recovery procedure")
-        .when(alarm_type.contains("VSWR"), "antenna fault detection VSWR")
-        .when(alarm_type.contains("CPU"), "eNodeB overload control"),
-    )
-    found = F.filter(tags, lambda t: t.isNotNull())
-    return F.when(F.size(found) == 0, F.concat(F.lit("3GPP procedure for "), query)).otherwise(
-        F.array_join(F.slice(found, 1, 3), " "))
+    return search_text(F.concat(degraded_tags(status, prb, sinr, drop, rrc, ul), alarm_tags(alarm_type)), query)
 
 
 def alarm_line(severity, kind, element, raised, description, status) -> Column:

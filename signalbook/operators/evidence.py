@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbook import rules
+from signalbook.functions import network as net
 
 
 def evidence_counts(df: DataFrame, key: str = "inv_id") -> DataFrame:
@@ -91,3 +92,35 @@ def order_evidence(df: DataFrame) -> DataFrame:
     for i, tool in reversed(list(enumerate(rules.TOOLS))):
         rank = F.when(F.col("tool") == tool, i).otherwise(rank)
     return df.withColumn("tool_rank", rank)
+
+
+def first_in_order(rows: DataFrame, key: str, order: list[str], value: str, first: int, distinct: bool = False) -> DataFrame:
+    """``key`` and ``values``: the first values of each key along ``order``, nulls left out; with ``distinct`` each value at its
+    first place only.
+
+    Every task keeps ``first`` rows of a key before anything moves and again after, so a key with very many rows is never
+    gathered. Ties in ``order`` go to the smaller value.
+    """
+    place = F.struct(*order)
+    found = rows.filter(F.col(value).isNotNull()).select(key, place.alias("_place"), F.col(value).alias("_value"))
+    if distinct:
+        found = found.groupBy(key, "_value").agg(F.min("_place").alias("_place"))
+    # The limit on the rank is applied below the shuffle too.
+    ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_place", "_value"))).filter(F.col("_rank") <= first)
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_value"))), lambda x: x["_value"]).alias("values"))
+
+
+def investigation_search(investigations: DataFrame, samples: DataFrame, alarm_rows: DataFrame, first: int = 3, distinct: bool = False) -> DataFrame:
+    """inv_id, search: the search text of every investigation (inv_id, query) from all its key figures and alarms.
+
+    ``samples``: inv_id, seq, status and the five figures; ``alarm_rows``: inv_id, seq, type. Phrases come in the order figures, then
+    alarms, each by seq, and the first of them count, repeated ones too unless ``distinct``. Without any the query follows the generic phrase. Rows of unknown
+    investigations are left out.
+    """
+    c = F.col
+    tags = net.degraded_tags(
+        c("status"), c("prb_utilization_dl_pct"), c("sinr_avg_db"), c("erab_drop_rate_pct"), c("rrc_setup_success_pct"), c("ul_interference_dbm"))
+    both = samples.select("inv_id", F.lit(0).alias("tool"), "seq", F.posexplode(tags).alias("nr", "tag")).unionByName(
+        alarm_rows.select("inv_id", F.lit(1).alias("tool"), "seq", F.posexplode(net.alarm_tags(c("type"))).alias("nr", "tag")))
+    found = first_in_order(both, "inv_id", ["tool", "seq", "nr"], "tag", first, distinct)
+    return investigations.join(found, "inv_id", "left").select("inv_id", net.search_text(c("values"), c("query"), first).alias("search"))

@@ -432,16 +432,16 @@ def against(spark, sf):
     return similarity.dedup_against(new, base).select("row_id", "source")
 
 
-@query("c4_eval_overlap", f"""WITH q AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 10 = 0 THEN '  ' || lower(b.text) ELSE d.text END AS question
-    FROM documents d LEFT JOIN benchmark b ON b.item_id = (d.doc_id // 10) % (SELECT count(*) FROM benchmark))
+# Beside all questions stands, for every tenth, a held-out item in other case and spacing.
+@query("c4_eval_overlap", f"""WITH q AS (SELECT doc_id AS row_id, text AS question FROM documents UNION ALL
+    SELECT -1 - doc_id, '  ' || lower(b.text) FROM documents JOIN benchmark b ON b.item_id = (doc_id // 10) % (SELECT count(*) FROM benchmark) WHERE doc_id % 10 = 0)
   SELECT row_id FROM q WHERE lower({strip_sql('question')}) NOT IN (SELECT lower({strip_sql('text')}) FROM benchmark) OR question IS NULL""")
 def eval_overlap(spark, sf):
-    # Every tenth question is replaced by a held-out item in other case and spacing.
-    b = table(spark, sf, "benchmark")
-    d = table(spark, sf, "documents").join(
-        b.select(F.col("item_id"), F.col("text").alias("item")), F.floor(F.col("doc_id") / 10) % b.agg(F.count(F.lit(1))).scalar() == F.col("item_id"), "left")
-    q = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("  "), F.lower("item"))).otherwise(F.col("text"))
-    rows = d.select(F.col("doc_id").alias("row_id"), q.alias("question"))
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    planted = d.filter("doc_id % 10 = 0").join(
+        b.select(F.col("item_id"), F.col("text").alias("item")), F.floor(F.col("doc_id") / 10) % b.agg(F.count(F.lit(1))).scalar() == F.col("item_id"))
+    rows = d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("question")).unionByName(
+        planted.select((-1 - F.col("doc_id")).alias("row_id"), F.concat(F.lit("  "), F.lower("item")).alias("question")))
     return similarity.drop_eval_overlap(rows, b).select("row_id")
 
 

@@ -201,12 +201,17 @@ def _scored(spark, sf, every: bool = False):
         .otherwise(scoring.score_knowledge(a, must))
     )
     own = answers(spark, sf)
-    keyed = own.withColumn("lang", F.explode(F.array(*[F.lit(x[0]) for x in RUBRIC]))) if every else own
-    rows = keyed.join(F.broadcast(r), "lang")  # a fixed table of four rows
+    langs = [x[0] for x in RUBRIC]
+    # Answers in no or another language are held against the first rubric.
+    key = F.explode(F.array(*[F.lit(x) for x in langs])) if every else F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(langs[0])
+    rows = own.withColumn("_rubric", key).join(F.broadcast(r.withColumnRenamed("lang", "_rubric")), "_rubric")  # a fixed table of four rows
     return rows.withColumns({"score": score, "elapsed": F.length("answer") / 1000})
 
 
-def _rubric_sql(pairs="answers a JOIN rb USING (lang)"):
+_LANGS = ", ".join(f"'{x[0]}'" for x in RUBRIC)
+
+
+def _rubric_sql(pairs=f"answers a JOIN rb ON rb.lang = CASE WHEN a.lang IN ({_LANGS}) THEN a.lang ELSE '{RUBRIC[0][0]}' END"):
     def arr(xs):
         return "[" + ", ".join(sql_text(x) for x in xs) + "]::VARCHAR[]"
     rows = ", ".join(f"('{lg}', '{c}', {sql_text(d) if d else 'NULL'}, {arr(m)}, {arr(n)})" for lg, c, d, m, n in RUBRIC)

@@ -104,17 +104,17 @@ def strip_sql(x: str) -> str:
 
 # --- source groups of documents -------------------------------------------------------------
 def new_and_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of odd-numbered sources form the new corpus, those of even-numbered sources the base;
+    """Documents of odd-numbered sources form the new corpus, all others the base (sources with an even number, with none, null);
     together they are the whole table."""
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("question"), "lang", "source"
     )
-    number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    number = F.coalesce(F.regexp_extract("source", r"(\d+)", 1).try_cast("int"), F.lit(0))
     return d.filter(number % 2 == 1), d.filter(number % 2 == 0)
 
 
 SOURCES_SQL = r"""
 newq AS (SELECT doc_id AS row_id, text AS question, lang, source FROM documents
-  WHERE CAST(regexp_extract(source, '(\d+)', 1) AS INT) % 2 = 1),
+  WHERE coalesce(TRY_CAST(regexp_extract(source, '(\d+)', 1) AS INT), 0) % 2 = 1),
 baseq AS (SELECT doc_id AS row_id, text AS question, lang, source FROM documents
-  WHERE CAST(regexp_extract(source, '(\d+)', 1) AS INT) % 2 = 0)"""
+  WHERE coalesce(TRY_CAST(regexp_extract(source, '(\d+)', 1) AS INT), 0) % 2 = 0)"""

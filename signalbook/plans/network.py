@@ -166,16 +166,14 @@ def seed(spark, sf):
     return kpi(spark, sf).select("event_id", stable_hash(F.col("cell_id"), F.col("hour"), F.day("ts")).alias("seed"))
 
 
-_BASE = "(0.2 + 0.8 * (0.3 * exp(-pow(hour - 10, 2) / 8.0) + 0.4 * exp(-pow(hour - 18, 2) / 10.0) + 0.3 * exp(-pow(hour - 14, 2) / 20.0)))"
-
-
-@query("f30_diurnal_residual", f"""{W}, h AS (SELECT hour, count(*) AS n FROM kpi GROUP BY hour), t AS (SELECT max(n) AS top FROM h)
-  SELECT hour, n, round({_BASE}, 6) AS expected, round(n / top - {_BASE}, 6) AS residual FROM h, t""")
+@query("f30_diurnal_residual", f"""{W}, h AS (SELECT CAST(ts AS DATE) AS day, hour, count(*) AS n FROM kpi GROUP BY ALL), p AS (SELECT hour, avg(n) AS expected FROM h GROUP BY hour)
+  SELECT strftime(day, '%Y-%m-%d') AS day, hour, n, round(expected, 6) AS expected, round(n - expected, 6) AS residual FROM h JOIN p USING (hour)""")
 def diurnal(spark, sf):
-    h = kpi(spark, sf).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
-    expected = net.diurnal_baseline(F.col("hour"))
-    return h.select("hour", "n", F.round(expected, 6).alias("expected"),
-                    F.round(F.col("n") / h.agg(F.max("n")).scalar() - expected, 6).alias("residual"))
+    """Samples of every hour against the mean of that hour of day."""
+    h = kpi(spark, sf).groupBy(F.to_date("ts").alias("day"), "hour").agg(F.count(F.lit(1)).alias("n"))
+    expected = h.groupBy("hour").agg(F.avg("n").alias("expected"))  # 24 rows
+    return h.join(F.broadcast(expected), "hour").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "hour", "n", F.round("expected", 6).alias("expected"), F.round(F.col("n") - F.col("expected"), 6).alias("residual"))
 
 
 @query("g16_kpi_summary", f"{W} SELECT region, hour, count(*) AS cells, count_if(status IN ('DEGRADED','CRITICAL'))::BIGINT AS degraded FROM st JOIN sites USING (site_id) GROUP BY ALL")
@@ -290,6 +288,23 @@ def tags(spark, sf):
     return j.select("alarm_id", text.alias("search"))
 
 
+# An investigation: the key figures and alarms of a site in an hour.
+@query("f33_investigation_tags", f"""{W}, k AS (SELECT site_id, date_trunc('hour', ts) AS h, event_id, NULL AS type, status = 'DEGRADED' AS d, prb_utilization_dl_pct, sinr_avg_db, erab_drop_rate_pct, rrc_setup_success_pct, ul_interference_dbm FROM st),
+  x AS (SELECT site_id, h, 0 AS tool, event_id, {_TAGS} AS tags FROM k UNION ALL
+    SELECT site_id, date_trunc('hour', raised_time), 1, event_id, {_TAGS} FROM (SELECT *, false AS d, 0 AS prb_utilization_dl_pct, 0 AS sinr_avg_db, 0 AS erab_drop_rate_pct, 0 AS rrc_setup_success_pct, 0 AS ul_interference_dbm FROM alarms)),
+  t AS (SELECT site_id, h, list({{'tool': tool, 'e': event_id, 'i': i, 'tag': tags[i]}} ORDER BY tool, event_id, i) AS l FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM x) GROUP BY ALL),
+  inv AS (SELECT DISTINCT site_id, h FROM x)
+  SELECT site_id || ' ' || {TS.format('h')} AS inv_id, CASE WHEN l IS NULL THEN '3GPP procedure for ' || site_id ELSE array_to_string(list_transform(l[1:3], lambda y: y.tag), ' ') END AS search
+  FROM inv LEFT JOIN t USING (site_id, h)""")
+def investigation_tags(spark, sf):
+    c = F.col
+    inv = lambda at: F.concat(c("site_id"), F.lit(" "), _ts(F.date_trunc("hour", at)))
+    samples = kpi_with_status(spark, sf).withColumn("inv_id", inv("ts")).withColumnRenamed("event_id", "seq")
+    raised = alarms(spark, sf).withColumn("inv_id", inv("raised_time")).withColumnRenamed("event_id", "seq")
+    asked = samples.select("inv_id", F.col("site_id").alias("query")).union(raised.select("inv_id", "site_id")).distinct()
+    return evidence.investigation_search(asked, samples, raised)
+
+
 @query("f44_findings_text", f"""{W}, al AS (SELECT '  - [' || severity || '] ' || type || ' on ' || affected_element || ' at ' || {TS.format('raised_time')} || ' — ' || description || ' (' || status || ')' AS line FROM alarms),
 ch AS (SELECT '  - ' || param || ': ' || old || ' → ' || new || ' by ' || changed_by || ' at ' || {TS.format('time')} || ' (reason: ' || coalesce(reason, '') || ')' AS line FROM changes),
 none AS (SELECT cell_id || '{net.NO_CHANGES}' AS line FROM cells WHERE cell_id NOT IN (SELECT cell_id FROM changes))
