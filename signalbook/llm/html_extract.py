@@ -43,36 +43,91 @@ CLOSES = {
 LABELS = {"label", "legend", "option", "optgroup", "output"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-# Elements and roles that are never part of an article, and words of classes and ids that name such parts.
+# Elements and roles that are never part of an article.
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "search"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar", "alert", "form"}
-OUTSIDE_WORDS = set(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice notices notification popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar share sharing social related recommended "
-    "comment comments commentlist disqus reply replies respond responses widget pagination pager copyright disclaimer skip".split())
+# Words of classes and ids that name such parts: readers' comments, which are out whatever their share of the page; parts that are out inside
+# an article too; parts whose name says little inside an article.
+COMMENT_WORDS = set("comment comments commentlist disqus reply replies respond responses".split())
+NEVER_WORDS = set(
+    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe "
+    "subscription signup login nav navbar navigation breadcrumb breadcrumbs sidebar share sharing related recommended widget pagination pager "
+    "skip".split())
+OUTSIDE_WORDS = COMMENT_WORDS | NEVER_WORDS | set(
+    "banner notice notices notification popup modal overlay menu aside footer header masthead topbar toolbar social copyright "
+    "disclaimer".split())
+# Words that may stand beside these in a name without changing what it names.
+PLAIN_WORDS = set(
+    "site page main global top bottom left right upper lower primary secondary list box section wrapper wrap container block area buttons button "
+    "links link bar inner outer content contents item items post posts article articles user users reader readers visitor form slot unit zone panel row "
+    "col column group text body title heading icons icon mobile desktop sticky fixed js id thread area module region holder media".split())
 INSIDE_WORDS = set("article articlebody content post entry story main".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SKIPPED = re.compile(r"<!\[CDATA\[.*?\]\]>|<(script|style)\b[^>]*(?<!/)>.*?</\1\b[^>]*>", re.I | re.S)
+# A tag whose quotes are closed; any tag. Neither looks back, so each is linear in what it reads.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ANY_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+>|[^<]++|<", re.S)
+_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_SKIPPED = re.compile(r"<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b[^>]*(?<!/)>.*?(?:</\1\b[^>]*>|\Z)", re.I | re.S)
 _XMP_END = re.compile(r"</xmp\b[^>]*>", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
+# Open elements that a new tag closes: the outermost of some tags inside the next of some borders.
+_SCOPES = [({"p"}, {"button", "table", "td", "th"}), ({"a"}, {"td", "th", "table"}), *dict.fromkeys(
+    (frozenset(t), frozenset(b)) for t, b in CLOSES.values())]
+_SCOPE_OF = {tag: next(i for i, s in enumerate(_SCOPES) if s == scope) for tag, scope in CLOSES.items()}
+_NO_SCOPE = (None,) * len(_SCOPES)
+_SCOPED = set().union(*(t | b for t, b in _SCOPES))
 
-@dataclass
+
+class Tokens:
+    """The markup of a page, piece by piece, in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self._last, self._quotes = page, page.rfind(">"), True
+
+    def at(self, at: int) -> tuple[int, str | None, str, str, str]:
+        """(end, tag or None, its slash or "", its attributes, the whole) of the piece that begins at ``at``.
+
+        After a tag with a quote that is never closed, quotes protect nothing on the rest of the page.
+        """
+        page = self.page
+        if page[at] == "<" and at < self._last and page[at + 1] not in "!?":
+            match = _TAG.match(page, at) if self._quotes else None
+            if match is None and (match := _ANY_TAG.match(page, at)) is not None:
+                self._quotes = False
+            if match is not None:
+                return match.end(), match[2].lower(), match[1], match[3], match[0]
+        match = _OTHER.match(page, at)
+        return match.end(), None, "", "", match[0]
+
+
+@dataclass(eq=False, slots=True)
 class Node:
+    """An element. What holds for everything below it is handed down when it is opened or, where it depends on the whole
+    page, in one pass over all elements (``settle``)."""
+
     tag: str
     parent: Node | None
     depth: int
+    scopes: tuple = _NO_SCOPE
     outside: bool = False  # by its tag, role or visibility
     form: bool = False  # outside as a form only, which a form around most of the page is not
+    comments: bool = False  # named as readers' comments
+    named_never: bool = False  # named as a part that is out inside an article too
     named_outside: bool = False  # by its class or id
     named_inside: bool = False
     holds_main: bool = False  # an article or main element is below
     in_main: bool = False
+    heading: bool = False  # itself or above, as the next three
+    label: bool = False
+    headers: int = 0
+    inside: bool = False
+    shut: bool = False  # outside for certain
+    named: float = 0.0  # what the names above cost
     chars: int = 0  # of text below, without what is outside by its tag or role
+    plain: int = 0  # of a form, without labels
+    labels: int = 0
 
 
 @dataclass
@@ -85,18 +140,38 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+def _names(value: str) -> tuple[bool, bool, bool, bool]:
+    """(comments, never, outside, inside): what the classes and ids in a value say. A name counts as a whole: one that holds a word of another
+    kind beside (share-price, social-policy, has-sidebar) says nothing."""
+    comments = never = outside = inside = False
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        inside |= bool(words & INSIDE_WORDS)
+        if words & OUTSIDE_WORDS and all(w in OUTSIDE_WORDS or w in PLAIN_WORDS or len(w) == 1 or w.isdigit() for w in words):
+            outside = True
+            comments |= bool(words & COMMENT_WORDS)
+            never |= bool(words & NEVER_WORDS)
+    return comments, never, outside, inside
+
+
 def _open(tag: str, raw: str, parent: Node) -> Node:
-    node = Node(tag, parent, parent.depth + 1, in_main=parent.in_main or tag in ("article", "main"))
+    node = Node(tag, parent, parent.depth + 1, parent.scopes, in_main=parent.in_main or tag in ("article", "main"))
+    if tag in _SCOPED:
+        node.scopes = tuple(
+            None if tag in borders and tag not in tags else (node if tag in borders or held is None else held) if tag in tags else held
+            for held, (tags, borders) in zip(parent.scopes, _SCOPES))
+    node.heading = parent.heading or tag in HEADINGS
+    node.label = parent.label or tag in LABELS
+    node.headers = parent.headers + (tag == "header")
     if raw.strip():
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
         role = found.get("role", "").lower()
-        names = {w.lower() for w in _NAME.findall(found.get("class", "") + " " + found.get("id", ""))}
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*+:\s*+none", found.get("style", ""))
         node.outside = role in OUTSIDE_ROLES - {"form"} or bool(hidden)
         node.form = role == "form"
         node.in_main = node.in_main or role == "main" or found.get("itemprop", "").lower() == "articlebody"
-        node.named_outside = bool(names & OUTSIDE_WORDS)
-        node.named_inside = bool(names & INSIDE_WORDS)
+        node.comments, node.named_never, node.named_outside, node.named_inside = _names(found.get("class", "") + " " + found.get("id", ""))
+    node.inside = parent.inside or node.named_inside
     node.outside = node.outside or tag in OUTSIDE - {"form"} or tag == "header" and not parent.in_main
     node.form = (node.form or tag == "form") and not node.outside
     node.outside = node.outside or node.form
@@ -108,52 +183,52 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
     return node
 
 
-def _foreign_end(page: str, at: int, tag: str) -> int:
+def _foreign_end(tokens: Tokens, at: int, tag: str) -> int:
     """Where the foreign element opened before ``at`` ends: at its own end tag, nested ones matched, or before the
     HTML that ends an open one."""
-    depth, html_inside = 1, int(tag in HTML_INSIDE)
-    while match := _SKIPPED.match(page, at) or _TOKEN.match(page, at):
-        name = (match[2] or match[5] or "").lower() if match.re is _TOKEN else ""
-        closing = name and (match[1] or match[4])
-        if name == tag and (closing or not match[0].endswith("/>")):
+    depth, html_inside, size = 1, int(tag in HTML_INSIDE), len(tokens.page)
+    while at < size:
+        if skipped := _SKIPPED.match(tokens.page, at):
+            at = skipped.end()
+            continue
+        end, name, closing, _, whole = tokens.at(at)
+        if name == tag and (closing or not whole.endswith("/>")):
             depth += -1 if closing else 1
             if not depth:
-                return match.end()
-        elif name in HTML_INSIDE and (closing or not match[0].endswith("/>")):
+                return end
+        elif name in HTML_INSIDE and (closing or not whole.endswith("/>")):
             html_inside = max(0, html_inside + (-1 if closing else 1))
-        elif not html_inside and (name in BLOCK or name == "p" if closing else name in BREAKOUT):
-            return match.start()
-        at = match.end()
-    return len(page)
+        elif name and not html_inside and (name in BLOCK or name == "p" if closing else name in BREAKOUT):
+            return at
+        at = end
+    return size
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The non-empty blocks of a page in order; unclosed and misplaced tags are mended as browsers do."""
+def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
+    """The non-empty blocks of a page and all its elements, both in order; unclosed and misplaced tags are mended as browsers do."""
     here = root = Node("", None, 0)
+    nodes = [root]
+    opened: dict[str, list[Node]] = {}  # open elements by tag, the innermost last
     found: list[Block] = []
     current: Block | None = None
-    links, at = 0, 0
+    links, at, tokens, size = 0, 0, Tokens(page), len(page)
+
+    def enter(tag: str, raw: str) -> Node:
+        node = _open(tag, raw, here)
+        nodes.append(node)
+        return node
 
     def leave(node: Node) -> None:
         nonlocal here, links
         while here is not node.parent:
             links -= here.tag == "a"
+            opened[here.tag].pop()
             here = here.parent
 
-    def nearest(tags: set[str], borders: set[str]) -> Node | None:
-        """The outermost open element of ``tags`` below the next of ``borders``."""
-        node, hit = here, None
-        while node is not root and node.tag not in borders:
-            if node.tag in tags:
-                hit = node
-            node = node.parent
-        return hit
-
-    while match := _TOKEN.match(page, at):
-        at = match.end()
-        tag = match[2] or match[5]
+    while at < size:
+        start = at
+        at, tag, closing, raw, data = tokens.at(start)
         if tag is None:
-            data = match[0]
             if data[0] != "<" or data == "<":
                 if current is None:
                     current = Block(here)
@@ -163,23 +238,19 @@ def blocks_of(page: str) -> list[Block]:
                 if links:
                     current.linked += len(data.strip())
             continue
-        tag, closing = tag.lower(), match[1] or match[4]
         if closing:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                leave(node)
+            if opened.get(tag):
+                leave(opened[tag][-1])
             if tag in BLOCK:
                 current = None
             continue
-        if tag in FOREIGN and (tag == "svg" or any(n.tag == "math" for n in _above(here))):
-            if not match[0].endswith("/>"):
-                at = _foreign_end(page, at, tag)
+        if tag in FOREIGN and (tag == "svg" or opened.get("math")):
+            if not data.endswith("/>"):
+                at = _foreign_end(tokens, at, tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else size
             continue
         if tag == "br":
             if current is not None:
@@ -187,93 +258,96 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             current = None
-            if tag not in ("option", "html", "body") and (hit := nearest({"p"}, {"button", "table", "td", "th"})):
+            if tag not in ("option", "html", "body") and (hit := here.scopes[0]):
                 leave(hit)
-        if tag in CLOSES and (hit := nearest(*CLOSES[tag])):
+        if tag in CLOSES and (hit := here.scopes[_SCOPE_OF[tag]]):
             leave(hit)
-        if tag == "a" and (hit := nearest({"a"}, {"td", "th", "table"})):
+        if tag == "a" and (hit := here.scopes[1]):
             leave(hit)
         if tag == "xmp":  # its text is neither markup nor references
             end = _XMP_END.search(page, at)
-            found.append(Block(_open(tag, match[3] or match[6] or "", here), [page[at : end.start() if end else len(page)]]))
+            found.append(Block(enter(tag, raw), [page[at : end.start() if end else size]]))
             found[-1].linked = len(found[-1].parts[0].strip()) if links else 0
-            at = end.end() if end else len(page)
+            at = end.end() if end else size
             continue
-        if tag not in VOID and not match[0].endswith("/>"):
-            here = _open(tag, match[3] or match[6] or "", here)
+        if tag not in VOID and not data.endswith("/>"):
+            here = enter(tag, raw)
+            opened.setdefault(tag, []).append(here)
             links += tag == "a"
-    return [b for b in found if b.text()]
-
-
-def _above(node: Node) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _open_forms(blocks: list[Block], texts: list[str]) -> None:
-    """Forms with over half of the page's text are plain containers, unless most of their text is labels."""
-    if not any(n.form for b in blocks for n in _above(b.node)):
-        return
-    total = 0
-    inside: dict[int, list] = {}  # form, its text without labels, its labels
-    for block, text in zip(blocks, texts):
-        above = list(_above(block.node))
-        if any(n.outside and not n.form and not n.holds_main for n in above):
-            continue
-        label = any(n.tag in LABELS for n in above)
-        total += 0 if label else len(text)
-        for n in above:
-            if n.form:
-                inside.setdefault(id(n), [n, 0, 0])[1 + label] += len(text)
-    for node, plain, labels in inside.values():
-        if plain > max(0.5 * total, labels):
-            node.form = node.outside = False
+    return [b for b in found if b.text()], nodes
 
 
 @dataclass
 class Page:
     """What the classifier knows of the whole page."""
 
+    blocks: int  # that may be content
     chars: int
     has_main: bool
     named: bool  # a good part of the text is in elements named as content
 
     @classmethod
-    def of(cls, blocks: list[Block], texts: list[str]) -> Page:
-        _open_forms(blocks, texts)
-        total = 0
+    def of(cls, blocks: list[Block], nodes: list[Node], texts: list[str]) -> Page:
+        """Hands down and adds up over all elements what depends on the whole page. Parents come before their children."""
+        _open_forms(blocks, nodes, texts)
+        for n in nodes:
+            n.shut = n.parent is not None and n.parent.shut or (n.outside or n.comments and n.tag not in ("body", "html")) and not n.holds_main
+        open_blocks = 0
         for block, text in zip(blocks, texts):
-            above = list(_above(block.node))
-            if not any(n.outside and not n.holds_main for n in above):
+            if not block.node.shut:
+                block.node.chars += len(text)
+                open_blocks += 1
+        for n in reversed(nodes):
+            if n.parent is not None:
+                n.parent.chars += n.chars
+        total = nodes[0].chars
+        for n in nodes:
+            # A name says nothing about an element that holds the page's main part, and inside an article most names say less than the text.
+            said = n.named_outside and not n.holds_main and n.tag != "body" and n.chars <= 0.6 * total
+            own = (8.0 if n.named_never or not n.in_main else 3.0) if said else 0.0
+            n.named = max(own, n.parent.named if n.parent is not None else 0.0)
+        named = any(n.named_inside and 0 < n.chars >= 0.3 * total for n in nodes)
+        return cls(open_blocks, total, any(b.node.in_main for b in blocks), named and total > 0)
+
+
+def _open_forms(blocks: list[Block], nodes: list[Node], texts: list[str]) -> None:
+    """Forms with over half of the page's text are plain containers, unless most of their text is labels."""
+    if not any(n.form for n in nodes):
+        return
+    for n in nodes:
+        n.shut = n.parent is not None and n.parent.shut or n.outside and not n.form and not n.holds_main
+    total = 0
+    for block, text in zip(blocks, texts):
+        if not block.node.shut:
+            if block.node.label:
+                block.node.labels += len(text)
+            else:
+                block.node.plain += len(text)
                 total += len(text)
-                for n in above:
-                    n.chars += len(text)
-        named = any(n.named_inside and n.chars >= 0.3 * total for b in blocks for n in _above(b.node))
-        return cls(total, any(b.node.in_main for b in blocks), named and total > 0)
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.plain += n.plain
+            n.parent.labels += n.labels
+        if n.form and n.plain > max(0.5 * total, n.labels):
+            n.form = n.outside = False
 
 
 def label_costs(block: Block, text: str, page: Page) -> tuple[float, float]:
     """(cost of calling it boilerplate, cost of calling it content)."""
-    score, heading, named, inside = 0.0, False, False, False
-    for node in _above(block.node):
-        if node.outside and not node.holds_main:
-            return 0.0, 1e6
-        # A name says nothing about an element that holds the page's main part.
-        named |= node.named_outside and not node.holds_main and node.tag != "body" and node.chars <= 0.6 * page.chars
-        heading |= node.tag in HEADINGS
-        inside |= node.named_inside
-        score -= 2.0 * (node.tag == "header")
+    node = block.node
+    if node.shut:
+        return 0.0, 1e6
     words, links = text.count(" ") + 1, block.linked / max(1, len(text))
+    score = -2.0 * node.headers - node.named
     if page.has_main:
-        score += 3.0 if block.node.in_main else -3.0
+        score += 3.0 if node.in_main else -3.0
     elif page.named:
-        score += 1.5 if inside else -1.5
-    else:
-        score -= 0.5
-    score += min(3.0, 0.6 * math.log2(words)) - 4.0 * links * (links > 0.3)
-    score += 0.5 * (text[-1] in ".!?…:;\"'»”)") + (2.5 if heading else 0.0)
-    score -= 8.0 * named
+        score += 1.5 if node.inside else -1.5
+    else:  # with nothing beside it a text is the page's text
+        score += -0.5 if page.blocks > 1 else 0.5
+    # Lists of links belong to an article oftener than to what is around it.
+    score += min(3.0, 0.6 * math.log2(words)) - (2.5 if node.in_main else 4.0) * links * (links > 0.3)
+    score += 0.5 * (text[-1] in ".!?…:;\"'»”)") + (2.5 if node.heading else 0.0)
     return math.log1p(math.exp(min(score, 30))), math.log1p(math.exp(min(-score, 30)))
 
 
@@ -348,9 +422,9 @@ class Flow:
 
 def main_text(page: str | None, smoothness: float = 1.0) -> str:
     """The content blocks of a page, joined by line ends."""
-    blocks = blocks_of(page) if page else []
+    blocks, nodes = blocks_of(page) if page else ([], [Node("", None, 0)])
     texts = [b.text() for b in blocks]
-    whole = Page.of(blocks, texts)
+    whole = Page.of(blocks, nodes, texts)
     n = len(blocks)
     graph, source, sink = Flow(n + 2), n, n + 1
     last_of: dict[int, int] = {}
