@@ -14,8 +14,8 @@ def strip_trailing_followups(c: Column, followups=None, fillers=None) -> Column:
 
     The text is returned as it was when its last non-blank line is kept or nothing would remain.
     """
-    asks = any_of(*(followups or rules.TRAILING_FOLLOWUPS))
-    filler = "^" + any_of(*(fillers or rules.FILLERS))
+    asks = any_of(*(rules.TRAILING_FOLLOWUPS if followups is None else followups))
+    filler = "^" + any_of(*(rules.FILLERS if fillers is None else fillers))
     lines = F.split(rstrip(c), "\n")
 
     def kept_at(line, i):
@@ -47,7 +47,7 @@ def strip_leading_restatement(user: Column, answer: Column, ratio: float = 0.7,
 
 def drop_filler_lines(c: Column, fillers=None) -> Column:
     """Drop every line that starts with a filler phrase; keep the text if nothing would remain."""
-    filler = "^" + any_of(*(fillers or rules.FILLERS))
+    filler = "^" + any_of(*(rules.FILLERS if fillers is None else fillers))
     lines = F.split(c, "\n")
     kept = F.filter(lines, lambda line: ~matches(strip(line), filler))
     text = strip(F.array_join(kept, "\n"))
@@ -56,7 +56,9 @@ def drop_filler_lines(c: Column, fillers=None) -> Column:
 
 def infer_domain(user: Column, answer: Column, category: Column, patterns=None) -> Column:
     """Domain with the most pattern matches, helped by hints in the category; null if unsure."""
-    patterns = patterns or rules.DOMAIN_PATTERNS
+    patterns = rules.DOMAIN_PATTERNS if patterns is None else patterns
+    if not patterns:
+        return F.lit(None).cast("string")
     text = F.concat_ws(" ", user, answer)
     label = F.lower(F.coalesce(category, F.lit("")))
     found = {d: sum((count_matches(text, p) for p in ps), F.lit(0)) for d, ps in patterns.items()}
@@ -76,8 +78,8 @@ def infer_domain(user: Column, answer: Column, category: Column, patterns=None)
 
 
 def has_domain_tag(c: Column, domains=None) -> Column:
-    names = "|".join(domains or rules.DOMAIN_PATTERNS)
-    return strip(c).rlike(rf"^\[({names})\]")
+    names = any_of(*(rules.DOMAIN_PATTERNS if domains is None else domains))
+    return strip(c).rlike(rf"^\[{names}\]")
 
 
 def tag_domain(c: Column, domain: Column) -> Column:

@@ -82,7 +82,7 @@ def normalize_label(c: Column, labels: list[str]) -> Column:
 
 
 def is_followup(c: Column, indicators=None) -> Column:
-    return contains_any(F.lower(c), indicators or rules.FOLLOWUP_INDICATORS)
+    return contains_any(F.lower(c), rules.FOLLOWUP_INDICATORS if indicators is None else indicators)
 
 
 def _unfenced(c: Column) -> Column:

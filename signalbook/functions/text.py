@@ -66,7 +66,8 @@ def count_matches(c, pattern: str) -> Column:
 
 
 def any_of(*patterns: str) -> str:
-    return "(?:" + "|".join(patterns) + ")"
+    """A pattern that any of the given ones satisfies; of none, one that nothing satisfies."""
+    return "(?:" + "|".join(patterns) + ")" if patterns else "(?!)"
 
 
 def bind(value: Column, use) -> Column:

@@ -73,11 +73,11 @@ def combine_entities(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def complete_plan(plan: DataFrame, required: list[str] | None = None, key: str = "inv_id") -> DataFrame:
     """Plan rows plus one row per missing required tool, carrying the last identifiers of the plan."""
-    required = required or rules.TOOLS
+    required = rules.TOOLS if required is None else required
     known = plan.groupBy(key).agg(
         F.collect_set("tool").alias("_tools"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in ("cell_id", "site_id", "region")])
-    missing = F.array_except(F.array(*[F.lit(t) for t in required]), "_tools")
+    missing = F.array_except(F.array(*[F.lit(t) for t in required]).cast("array<string>"), "_tools")
     reason = None
     for tool, text in rules.TOOL_REASONS.items():
         reason = F.when(F.col("tool") == tool, text + rules.AUTO_ADDED) if reason is None else reason.when(F.col("tool") == tool, text + rules.AUTO_ADDED)

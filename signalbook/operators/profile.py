@@ -61,8 +61,10 @@ def length_profile(df: DataFrame, length: str, keys: list[str] | None = None) ->
 def length_buckets(df: DataFrame, length: str, keys: list[str] | None = None, buckets=None) -> DataFrame:
     """Row count of every half-open length bucket, zeros included; longer rows are in none."""
     keys = keys or []
-    buckets = buckets or rules.LENGTH_BUCKETS
+    buckets = rules.LENGTH_BUCKETS if buckets is None else buckets
     c = F.col(length)
+    if not buckets:
+        return df.select(*keys, F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("n")).limit(0)
     counted = df.groupBy(*keys).agg(
         *[F.count_if((c >= lo) & (c < hi)).alias(f"_{i}") for i, (lo, hi) in enumerate(buckets)]
     )

@@ -19,7 +19,7 @@ def marker_count(c: Column, markers: list[str]) -> Column:
 
 
 def shallow_count(c: Column, markers=None) -> Column:
-    return marker_count(c, markers or rules.SHALLOW_MARKERS)
+    return marker_count(c, rules.SHALLOW_MARKERS if markers is None else markers)
 
 
 def is_shallow(c: Column, markers=None) -> Column:
@@ -27,13 +27,13 @@ def is_shallow(c: Column, markers=None) -> Column:
 
 
 def specificity(c: Column, markers=None) -> Column:
-    return marker_count(c, markers or rules.SPECIFICITY_MARKERS)
+    return marker_count(c, rules.SPECIFICITY_MARKERS if markers is None else markers)
 
 
 def first_topic(question: Column, answer: Column, topics: dict[str, list[str]]) -> Column:
     """First topic in table order with a keyword in question or answer; null if none."""
     text = F.concat(F.lower(question), F.lit(" "), F.lower(answer))
-    out = None
+    out = None if topics else F.lit(None).cast("string")
     for name, keywords in topics.items():
         hit = contains_any(text, keywords)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
@@ -42,7 +42,7 @@ def first_topic(question: Column, answer: Column, topics: dict[str, list[str]])
 
 def topic_coverage(df: DataFrame, question: str, answer: str, topics=None) -> DataFrame:
     """Rows and share per topic, topics without rows included, plus ``unclassified``."""
-    topics = topics or rules.KPI_TOPICS
+    topics = rules.KPI_TOPICS if topics is None else topics
     tagged = df.select(F.coalesce(first_topic(F.col(question), F.col(answer), topics), F.lit("unclassified")).alias("topic"))
     # One pass of conditional counts gives the zeros for free: the topic list is a small rule table.
     names = list(topics) + ["unclassified"]
@@ -83,7 +83,7 @@ def gate_metrics(
     answer="answer", threshold: float = 0.85, window: int = 200,
 ) -> DataFrame:
     """One row with every number of the quality report over validated records."""
-    topics = topics or rules.KPI_TOPICS
+    topics = rules.KPI_TOPICS if topics is None else topics
     a = F.col(answer)
     names = list(topics)
     per_row = valid.select(
