@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from signalbook.llm.chunks import ChunkMemo, cut, slices, texts, worker_cached
 
 COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_PAIRS, _PIECES = 1_000_000, 300_000
+_PAIRS, _PIECES = 500_000, 300_000
+_NEVER = 1 << 30  # the rank of no merge
 
 
 class PrefixCounter:
     """The dynamic program for the byte-level vocabulary of a tokenizers file."""
 
     def __init__(self, tokenizer_file: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as f:
@@ -41,42 +43,87 @@ class PrefixCounter:
         self._ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self._specials = [t["content"] for t in model["added_tokens"]]
         self._pre = Tokenizer.from_file(tokenizer_file).pre_tokenizer
-        # Only tokens that encode to themselves can be in an encoding.
-        self._tokens = {t for t in model["model"]["vocab"] if len(t) == 1 or self._merge(t) == [t]}
-        self._longest = max(map(len, self._tokens))
+        # Only tokens that encode to themselves can be in an encoding. ``_lefts`` and ``_rights``: the tokens that stand at either
+        # edge while a token is made, each with the rank of the merge that takes it up.
+        self._lefts: dict[str, list[tuple[str, int]]] = {}
+        self._rights: dict[str, list[tuple[str, int]]] = {}
+        split = {}
+        for token in sorted(model["model"]["vocab"], key=len):
+            if len(token) > 1 and (parts := self._last_merge(token)):
+                split[token] = parts
+            if len(token) == 1 or parts:
+                self._lefts[token] = self._edge(token, split, 0)
+                self._rights[token] = self._edge(token, split, 1)
+        # One pass over a pre-token gives the tokens that end at each place, longest first.
+        self._ending = ahocorasick.Automaton()
+        for token in self._lefts:
+            self._ending.add_word(token, token)
+        self._ending.make_automaton()
         self._fits: dict = {}
         self._known: dict = {}  # counts of whole pre-tokens
-        self._memo = ChunkMemo(lambda chunks: [self.chunk(c) for c in chunks])
+        self._memo = ChunkMemo(self._chunks)
 
-    def _merge(self, piece: str) -> list[str]:
-        """Plain encoding of a short string of byte symbols."""
+    def _merges(self, piece: str) -> Iterator[list[str]]:
+        """The parts of a short string of byte symbols, merge by merge."""
         parts, ranks = list(piece), self._ranks
+        yield parts
         while len(parts) > 1:
-            best, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            best, at = min((ranks.get(p, _NEVER), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if best == _NEVER:
+                return
+            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+            yield parts
+
+    def _last_merge(self, token: str) -> tuple[str, str] | None:
+        """The two parts merged last, if the string is one token in the end."""
+        steps = list(self._merges(token))
+        return tuple(steps[-2]) if len(steps[-1]) == 1 else None
+
+    def _edge(self, token: str, split: dict, side: int) -> list[tuple[str, int]]:
+        path, taken = [], _NEVER
+        while True:
+            path.append((token, taken))
+            if token not in split:
+                return path[::-1]
+            taken, token = self._ranks[split[token]], split[token][side]
+
+    def _compatible(self, one: str, two: str) -> bool:
+        """No merge ever joins the end of ``one`` with the start of ``two``: what stands at the two edges meets, in the order of
+        the merges, only neighbours that merge elsewhere first (of equal merges the left one is first)."""
+        rights, lefts, ranks = self._rights[one], self._lefts[two], self._ranks
+        i = j = 0
+        while True:
+            (x, x_taken), (y, y_taken) = rights[i], lefts[j]
+            across = ranks.get((x, y), _NEVER)
+            if across < x_taken and across <= y_taken and across != _NEVER:
+                return False
+            if x_taken == y_taken == _NEVER:
+                return True
+            if x_taken <= y_taken:
+                i += 1
+            else:
+                j += 1
 
     def prefixes(self, piece: str) -> list[int]:
         """Token counts of the prefixes of one pre-token (byte symbols), the empty one included."""
-        tokens, fits, longest = self._tokens, self._fits, self._longest
-        last, counts = [""], [0]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token not in tokens:
-                    continue
+        fits, last, counts = self._fits, [""], [0]
+        done = -1
+        for end, token in self._ending.iter(piece):
+            if end == done:
+                continue
+            start = end + 1 - len(token)
+            if start:
                 pair = (last[start], token)
                 ok = fits.get(pair)
                 if ok is None:
                     if len(fits) >= _PAIRS:
                         fits.clear()
-                    ok = fits[pair] = start == 0 or self._merge(last[start] + token) == [last[start], token]
-                if ok:
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
+                    ok = fits[pair] = self._compatible(*pair)
+                if not ok:
+                    continue
+            done = end
+            last.append(token)
+            counts.append(counts[start] + 1)
         return counts
 
     def chunk(self, chunk: str) -> int:
@@ -87,15 +134,37 @@ class PrefixCounter:
                 return len(parts) - 1 + sum(self.chunk(p) for p in parts if p)
         return sum(self._whole(piece) for piece, _ in self._pre.pre_tokenize_str(chunk))
 
+    def _chunks(self, chunks: list[str]) -> list[int]:
+        """The same for many chunks; those that begin with a space and go on without any are pre-tokenized as one text."""
+        counts = [0] * len(chunks)
+        together = "\n".join(chunks)
+        special = any(s in together for s in self._specials)
+        plain = []
+        for i, c in enumerate(chunks):
+            if c[:1] == " " and c.split() == [c[1:]] and not (special and any(s in c for s in self._specials)):
+                plain.append(i)
+            else:
+                counts[i] = self.chunk(c)
+        whole = self._whole
+        for k in range(0, len(plain), 5000):
+            run = plain[k : k + 5000]
+            at, end = -1, 0
+            for piece, (start, _) in self._pre.pre_tokenize_str("".join(map(chunks.__getitem__, run))):
+                if start >= end:
+                    at += 1
+                    end += len(chunks[run[at]])
+                counts[run[at]] += whole(piece)
+        return counts
+
     def _whole(self, piece: str) -> int:
-        if piece in self._tokens:
+        if piece in self._lefts:
             return 1
         count = self._known.get(piece)
         if count is None:
             count = self.prefixes(piece)[-1]
-            if len(self._known) >= _PIECES:
-                self._known.clear()
             if len(piece) <= 64:
+                if len(self._known) >= _PIECES:
+                    self._known.clear()
                 self._known[piece] = count
         return count
 
