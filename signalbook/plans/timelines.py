@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalbook.operators import timeline
+from signalbook.operators import sketches, timeline
 from signalbook.plans import network as net
 from signalbook.plans.catalog import query
 from signalbook.plans.network import NET_SQL, TS
@@ -48,3 +48,18 @@ def recent_load(spark, sf):
     found = timeline.range_sums(e, ["cell_id"], "ts", 3 * 3600, {
         "events_before": F.lit(1), "errors_before": (F.col("event_type") == "error").cast("int"), "value_before": F.col("amount")})
     return found.select("event_id", "events_before", "errors_before", F.col("value_before").cast("double").alias("value_before"))
+
+
+@query("g16_quantile_states", f"""WITH {NET_SQL}
+  SELECT cell_id, count(*) AS n, min(value) AS least, max(value) AS most, true AS median_in_bound, true AS p90_in_bound FROM ev GROUP BY cell_id""")
+def quantile_states(spark, sf):
+    """Hourly states merged per cell; whether the ranks of the quantiles are inside three times the stated error."""
+    e = net.events(spark, sf).withColumn("hour_ts", F.date_trunc("hour", "ts"))
+    hourly = sketches.quantile_states(e, "value", ["cell_id", "hour_ts"], 200)
+    found = sketches.quantiles(sketches.merge_states(hourly, ["cell_id"], 200), {"median": 0.5, "p90": 0.9}, 200)
+    # The true ranks: shares of the values below, and at or below.
+    ranks = [F.count_if(F.col("value") < F.col(q)).alias(f"{q}_low") for q in ("median", "p90")] + [F.count_if(F.col("value") <= F.col(q)).alias(f"{q}_high") for q in ("median", "p90")]
+    checked = e.select("cell_id", "value").join(found, "cell_id").groupBy("cell_id", "n", "least", "most", "rank_error").agg(*ranks)
+    inside = {q: (F.col(f"{q}_low") <= (s + 3 * F.col("rank_error")) * F.col("n") + 1) & (F.col(f"{q}_high") >= (s - 3 * F.col("rank_error")) * F.col("n") - 1)
+              for q, s in (("median", 0.5), ("p90", 0.9))}
+    return checked.select("cell_id", "n", "least", "most", *[c.alias(f"{q}_in_bound") for q, c in inside.items()])
