@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signalbook import rules
 from signalbook.functions.text import stable_hash
-from signalbook.operators import dedup, mix, similarity
+from signalbook.operators import dedup, embedding, mix, similarity
 from signalbook.operators import documents as docs
 from signalbook.plans.catalog import query, table
 from signalbook.plans.corpus import _GRAMS
@@ -355,3 +355,19 @@ MAPPING = {"first": ["Brand#1", "Brand#2"], "second": ["Brand#2", "Brand#3"], "n
 @query("c14_seeds_for", "SELECT category, archetype, p_name AS preview FROM part JOIN (VALUES " + ", ".join(f"('{c}', '{a}')" for c, xs in MAPPING.items() for a in xs) + ") m(category, archetype) ON p_brand = archetype")
 def seeds(spark, sf):
     return mix.seeds_for(_bank(spark, sf), MAPPING)
+
+
+def _letters(i):
+    return "".join(chr(c) for c in range(97, 123) if c % 8 == i)
+
+
+_LETTER_N = ", ".join(f"length(regexp_replace(t, '[^{_letters(i)}]', '', 'g'))" for i in range(8))
+
+
+@query("c17_embed_documents", f"""WITH d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  v AS (SELECT doc_id, t, [{_LETTER_N}] AS n, length(regexp_replace(t, '[^a-z]', '', 'g')) AS total FROM d)
+  SELECT doc_id, t IS NOT NULL AS has_vector, {', '.join(f'round(CAST(CAST(n[{i + 1}] / greatest(total, 1) AS FLOAT) AS DOUBLE), 4) AS v{i}' for i in range(8))} FROM v""")
+def embed_documents(spark, sf):
+    """A vector for every whole document, from a model built in the workers."""
+    found = embedding.embed(table(spark, sf, "documents"), lambda: embedding.LetterCounts(8), "letters-8", 8, "doc_id", "text")
+    return found.select("doc_id", F.col("embedding").isNotNull().alias("has_vector"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(8)])
