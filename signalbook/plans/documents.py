@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signalbook import rules
@@ -11,8 +13,10 @@ from signalbook.operators import documents as docs
 from signalbook.plans.catalog import query, table
 from signalbook.plans.corpus import _GRAMS
 from signalbook.plans.fixtures import CHAT_SQL, SOURCES_SQL, chat, new_and_base, sql_text, strip_sql
+from signalbook.session import shared_folder
 from signalbook.sources import chat as chat_io
 from signalbook.sources import specs
+from signalbook.sources.lines_source import append_lines, read_line_table
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -371,3 +375,16 @@ def embed_documents(spark, sf):
     """A vector for every whole document, from a model built in the workers."""
     found = embedding.embed(table(spark, sf, "documents"), lambda: embedding.LetterCounts(8), "letters-8", 8, "doc_id", "text")
     return found.select("doc_id", F.col("embedding").isNotNull().alias("has_vector"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(8)])
+
+
+@query("a9_append_batches", """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{"doc_id": ' || doc_id ELSE '{"doc_id": ' || doc_id || ', "n": ' || n_chars || '}' END AS value FROM documents)
+  SELECT value, doc_id % 7 = 0 AS broken FROM l""")
+def append_batches(spark, sf):
+    """Lines of all documents, appended in two batches of which one is repeated, and read back in small splits."""
+    whole = F.format_string('{"doc_id": %d, "n": %d}', "doc_id", "n_chars")
+    value = F.when(F.col("doc_id") % 7 == 0, F.format_string('{"doc_id": %d', "doc_id")).otherwise(whole)
+    rows = table(spark, sf, "documents").select("doc_id", value.alias("value"))
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    for batch, part in (("even", 0), ("odd", 1), ("even", 0)):
+        append_lines(rows.filter(F.col("doc_id") % 2 == part), folder, batch)
+    return read_line_table(spark, folder, 1 << 16).select("value", "broken")
