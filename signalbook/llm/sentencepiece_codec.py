@@ -10,9 +10,12 @@ compared with the sentencepiece library and decoded again.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,6 +125,8 @@ class Codec:
     def __init__(self, model_file: str, verify: bool = True):
         model = read_model(model_file)
         self._tokenizer = build_tokenizer(model)
+        self._plain = {i: p.replace(MARK, " ") for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER_DEFINED)}
+        self._dummy = model.dummy_prefix
         self._reference = None
         if verify:
             from sentencepiece import SentencePieceProcessor
@@ -135,14 +140,34 @@ class Codec:
         self._memo = ChunkMemo(lambda chunks: self._encode([c[1:] if c[:1] == " " else c for c in chunks]))
 
     def _encode(self, bodies: list[str]) -> list[tuple[bytes, bool, bool]]:
-        ids = [e.ids if b else [] for b, e in zip(bodies, self._tokenizer.encode_batch(bodies, add_special_tokens=False))]
-        back = self._tokenizer.decode_batch(ids, skip_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(bodies, add_special_tokens=False)
+        ids = [e.ids if b else [] for b, e in zip(bodies, found)]
+        back = self._decoded(ids)
         expected = self._reference.encode(bodies, num_threads=4) if self._reference else ids
+        joined = array("I", chain.from_iterable(ids))
+        if sys.byteorder != "little":
+            joined.byteswap()
+        data, ends = joined.tobytes(), [4 * n for n in accumulate(map(len, ids), initial=0)]
         return [
-            (struct.pack(f"<{len(i)}I", *i), list(i) == list(e), not self._lossless or r == b.replace(MARK, " "))
-            for i, e, r, b in zip(ids, expected, back, bodies)
+            (data[at:end], i == e, not self._lossless or r == b.replace(MARK, " "))
+            for at, end, i, e, r, b in zip(ends, ends[1:], ids, expected, back, bodies)
         ]
 
+    def _decoded(self, ids: list[list[int]]) -> list[str]:
+        """What the decoder makes of the ids. Rows of plain pieces are their texts one after the other, with spaces for
+        markers, less the space of the dummy prefix; only rows with other ids (bytes, unknown) need the decoder itself."""
+        get, out, other = self._plain.get, [], []
+        for k, row in enumerate(ids):
+            try:
+                text = "".join(map(get, row))
+            except TypeError:  # an id without a text
+                other.append(k)
+                text = ""
+            out.append(text[1:] if self._dummy and text[:1] == " " else text)
+        for k, text in zip(other, self._tokenizer.decode_batch([ids[k] for k in other], skip_special_tokens=False)):
+            out[k] = text
+        return out
+
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids as little-endian unsigned 32-bit integers, parity, round trip) per text."""
         whole = [i for i, t in enumerate(texts) if t and (not self._cuts or MARK in t or t[0] == " ")]
