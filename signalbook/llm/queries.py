@@ -45,14 +45,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup", """
 WITH lines AS (
-    SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, i, string_split(text, chr(10))[i] AS line
-    FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+    SELECT doc_id, text, coalesce(source, '') AS host, source IS NULL AS no_host, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+    FROM (SELECT *, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+),
+totals AS (
+    SELECT coalesce(source, '') AS host, source IS NULL AS no_host, count(DISTINCT coalesce(text, '')) AS host_pages FROM documents GROUP BY ALL
 ),
-totals AS (SELECT coalesce(source, '') AS host, source IS NULL AS no_host, count(*) AS host_pages FROM documents GROUP BY ALL),
 counts AS (
-    SELECT host, no_host, trim(line) AS line, count(DISTINCT doc_id) AS pages FROM lines WHERE trim(line) <> '' GROUP BY ALL
+    SELECT host, no_host, trim(line) AS line, count(DISTINCT text) AS pages FROM lines WHERE trim(line) <> '' GROUP BY ALL
+),
+bad AS (
+    SELECT host, no_host, line FROM counts JOIN totals USING (host, no_host)
+    WHERE (pages >= 5 AND pages > 0.1 * host_pages) OR (pages >= 3 AND pages >= 0.8 * host_pages)
 ),
-bad AS (SELECT host, no_host, line FROM counts JOIN totals USING (host, no_host) WHERE pages >= 5 AND pages > 0.1 * host_pages),
 marked AS (
     SELECT l.*, b.line IS NOT NULL AS dropped
     FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.no_host = b.no_host AND trim(l.line) = b.line

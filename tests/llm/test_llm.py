@@ -128,12 +128,23 @@ def test_line_dedup(spark, odd, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, pages string")
     done = {r["doc_id"]: r for r in line_dedup.drop_site_lines(df, 0.2, 20).collect()}
     assert len(done) == 70 and done[3]["text"] == "own 3\n\nend 3" and done[3]["_lines_dropped"] == 2 and done[3]["pages"] == "x"
-    assert done[65]["text"] == rows[65][1]  # too few pages on that host
+    assert done[65]["text"] == "own 65\n\nend 2"  # on all ten pages of a small host; its other lines are on few
     kept = line_dedup.drop_site_lines(odd, 0.1, 3)
     assert kept.count() == odd.count() and set(kept.columns) == {*odd.columns, "_lines_dropped"}
     assert line_dedup.drop_site_lines(empty).count() == 0
 
 
+def test_line_dedup_small_hosts(spark):
+    """Lines on all three pages of a host go, lines on two of three or on both pages of a host stay; texts are told apart by row."""
+    rows = [(1, "menu\n a ", "x"), (1, "menu\nb\ntwice", "x"), (2, " menu \nc\ntwice\n", "x"), (3, "top\nd", "y"), (4, "top\ne", "y"),
+            (5, "menu\nf", None), (6, None, None), (7, "menu\n a ", "x"), (7, "menu", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    done = sorted((r["doc_id"], r["text"] or "", r["_lines_dropped"]) for r in line_dedup.drop_site_lines(df).collect())
+    assert done == sorted([(1, " a ", 1), (1, "b\ntwice", 1), (2, "c\ntwice\n", 1), (3, "top\nd", 0), (4, "top\ne", 0), (5, "menu\nf", 0), (6, "", 0), (7, " a ", 1), (7, "", 1)])
+    with pytest.raises(ValueError):
+        line_dedup.drop_site_lines(df.withColumn("__line_at", F.lit(1)))
+
+
 def test_line_dedup_copies(spark):
     """Copies of a document are no boilerplate: the pipeline keeps one of them with its text."""
     import corpus_pipeline
@@ -141,7 +152,7 @@ def test_line_dedup_copies(spark):
     clean = "\n".join(f"line {k} of the clean document has words {k} {k + 1}" for k in range(6))
     rows = [(i, "the menu of the site\n" + (clean if i < 12 else f"own text {i} alone {i * 7} on page {i}"), "en", "s", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    found = {r["pages"]: r["host_pages"] for r in line_dedup.site_lines(df, copies_once=True).collect()}
+    found = {r["pages"]: r["host_pages"] for r in line_dedup.site_lines(df).collect()}
     assert found == {19: 19}  # the menu, in 18 single texts and the copied one
     done = corpus_pipeline.lines(spark, df, SF)
     assert {r["doc_id"]: r["text"] for r in done.collect()} == {i: t.split("\n", 1)[1] for i, t, *_ in rows}
