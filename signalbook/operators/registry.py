@@ -9,8 +9,8 @@ from signalbook import rules
 from signalbook.functions.entities import keyword_words, split_words
 from signalbook.operators.scans import running
 
-# Copies of the small agent word table, so that a frequent word of the queries is not one task.
-WORD_SALTS = 16
+# Rows of one word joined in one task; there are at most (rows / HOT_WORD_ROWS) words with more.
+HOT_WORD_ROWS = 100_000
 
 
 def validate_agents(df: DataFrame) -> DataFrame:
@@ -73,10 +73,17 @@ def registry_stats(agents: DataFrame, runs: DataFrame) -> DataFrame:
     ).withColumn("total_runs", runs.agg(F.count(F.lit(1))).scalar())
 
 
-def _word_hits(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of (q_id, word) and (agent_id, word, ...) that share a word."""
-    salted = left.withColumn("_salt", F.pmod(F.hash("q_id"), F.lit(WORD_SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
+def _word_hits(left: DataFrame, right: DataFrame, hot_rows: int = HOT_WORD_ROWS) -> DataFrame:
+    """Rows of (q_id, word) and (agent_id, word, ...) that share a word.
+
+    Words of very many rows on the left are dealt over as many salts as their number asks for, and their agents repeated for each;
+    words that no agent has are left out before anything is salted.
+    """
+    counts = left.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(counts.join(right.select("word").distinct(), "word", "left_semi").select("word", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left.join(hot, "word", "left").withColumn("_salt", F.pmod(F.xxhash64("q_id"), salts).cast("int")).drop("_salts")
+    copies = right.join(hot, "word", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(copies, ["word", "_salt"]).drop("_salt")
 
 

@@ -340,3 +340,14 @@ def test_inventory(spark):
     got = {tuple(r) for r in specs.inventory(df, "p", "n").collect()}
     assert got == {(".txt", 2, 7), ("", 3, 3), (None, 5, 10)}
     assert [tuple(r) for r in specs.inventory(df.filter("false"), "p", "n").collect()] == []
+
+
+def test_hot_words_are_salted(spark):
+    """The hits are the same however few rows make a word hot."""
+    from signalbook.operators import registry
+
+    left = spark.createDataFrame([(i, w) for i in range(60) for w in (["the"] if i % 3 else ["the", "cell", f"w{i}"])], "q_id long, word string")
+    right = spark.createDataFrame([(1, "the"), (2, "the"), (2, "cell"), (3, "none")], "agent_id long, word string")
+    want = sorted((q, a) for q in range(60) for a in ([1, 2] if q % 3 else [1, 2, 2]))
+    for rows in (1, 7, 100_000):
+        assert sorted((r.q_id, r.agent_id) for r in registry._word_hits(left, right, rows).collect()) == want
