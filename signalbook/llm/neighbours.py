@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 4096
+SPANS, SPAN_ROWS = 64, 100_000  # parts of the vectors at least, and rows of a part
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -94,22 +95,23 @@ class _Search:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding",
-    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, spans: int = 64,
+    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, spans: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest vectors of every query, nearest first.
 
     ``score`` is the Euclidean distance in double precision; ties go to the smaller id. A query is not its own
-    candidate; rows that repeat an id count once (the first vector met). Vectors that are null, empty, zero
+    candidate; rows that repeat an id count once (the smallest vector, component by component). Vectors that are null, empty, zero
     or hold null or non-finite components take no part, neither as queries nor as candidates; vectors of
     another width than a query's are no candidates of it. An empty table on either side gives no rows.
 
-    Queries are cut into blocks, vectors into ``spans`` parts, and every block meets every part once: that is
+    Queries are cut into blocks, vectors into ``spans`` parts (by their number, if not given), and every block meets every part once: that is
     the work asked for, a stated set of queries against all rows. A task holds one block of queries, one
     block of vectors and k entries per query. Each part sends k rows per query to the merge.
     """
     of = lambda df: df.filter(usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    left = of(queries).dropDuplicates(["id"])
-    right = of(vectors).dropDuplicates(["id"])
+    once = lambda df: df.groupBy("id").agg(F.min("v").alias("v"))
+    left, right = once(of(queries)), once(of(vectors))
+    spans = spans or max(SPANS, -(-vectors.count() // SPAN_ROWS))
     # Blocks by a hash of the id: how many there are follows the number of queries, which is counted.
     blocks = max(1, -(-left.count() // query_block))
     span = F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int")

@@ -388,6 +388,15 @@ def test_neighbours(spark):
     assert neighbours.nearest(df, queries.filter("false")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Of rows that share an id the smallest vector counts, in whatever order they come."""
+    rows = [(1, [0.0, 1.0]), (2, [5.0, 0.0]), (2, [1.0, 1.0]), (2, [None, 0.0]), (3, [4.0, 1.0]), (1, [0.0, 3.0])]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "vec_id long, embedding array<double>").repartition(3)
+        got = neighbours.nearest(df, df.filter("vec_id = 1"), k=2).collect()
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 1.0), (2, 3, 4.0)]
+
+
 def test_neighbour_bounds():
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(40, 16)) * rng.lognormal(size=(40, 1)), rng.normal(size=(60, 16))
