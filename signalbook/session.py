@@ -30,15 +30,21 @@ def local_session(app: str = "signalbook", cpus: int | str | None = None) -> Spa
     )
 
 
+_LOCAL: dict[str, str] = {}  # folders of local applications
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; local sessions without that
-    setting get one of their own."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local application without that
+    setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="signalbook-")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = tempfile.mkdtemp(prefix="signalbook-")
+    return _LOCAL[name]
 
 
 def materialize(df):

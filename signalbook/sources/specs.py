@@ -69,7 +69,11 @@ def scenario_bank(df: DataFrame, archetype="archetype", preview="question_previe
     return positions(rows, [row], span_bucket(row), keys=["archetype"], total="n").drop(row)
 
 
-def load_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with archetype and question_preview columns as a scenario bank."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def load_scenarios(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with archetype and question_preview columns as a scenario bank.
+
+    Quoted previews may hold line ends, so a file is read by one task; without them (``multi_line=False``) large files
+    are split.
+    """
+    rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return scenario_bank(rows.withColumn("row_id", F.monotonically_increasing_id()))
