@@ -7,9 +7,10 @@ over the prefixes of a pre-token,
     last(p)  = the token t that ends at p and is compatible with last(p - |t|)
     count(p) = count(p - |t|) + 1
 
-gives the exact count at every prefix in one pass. Counts of whole chunks add up, because chunks
-start where a pre-token always starts; a table of a text therefore keeps the counts at its chunk ends, and a
-prefix that ends inside a chunk needs the program for that one chunk only, never for the text.
+gives the exact count at every prefix in one pass over the pre-token, with an automaton that names the tokens that end at a place and
+a test of two neighbours that follows their edges through the merges. Pre-tokens add up. A table of a text stores the counts at
+all pre-token ends; a prefix that ends inside a pre-token is answered by the program over that one pre-token, and
+the longest prefix for a budget by a search in the table and one pass over the next pre-token. The text is never encoded again.
 """
 
 from __future__ import annotations
@@ -173,26 +174,61 @@ class PrefixCounter:
         return [sum(v) if t else 0 for t, v in zip(texts, self._memo.many(texts))]
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Code-point offsets of the chunk ends and the token counts up to them, from 0 on."""
-        chunks = cut(text) if text else []
-        return [0, *accumulate(map(len, chunks))], [0, *accumulate(self.chunk(c) for c in chunks)]
+        """Code-point offsets and the exact token counts up to them, from 0 on: the stored prefixes.
+
+        There is one at the end of every pre-token but white space, since what follows never changes the pre-tokens up to there. Texts with special
+        strings have them at the ends of their chunks.
+        """
+        ends, counts = [0], [0]
+        if any(s in text for s in self._specials):
+            chunks = cut(text)
+            return [0, *accumulate(map(len, chunks))], [0, *accumulate(map(self.chunk, chunks))]
+        total = 0
+        for piece, (_, end) in self._pre.pre_tokenize_str(text) if text else ():
+            total += self._whole(piece)
+            if not text[end - 1].isspace():
+                ends.append(end)
+                counts.append(total)
+        if ends[-1] < len(text):
+            ends.append(len(text))
+            counts.append(total)
+        return ends, counts
 
     def tokens_at(self, text: str, table: tuple[list[int], list[int]], end: int) -> int:
-        """Tokens of ``text[:end]``, exactly."""
+        """Tokens of ``text[:end]``, exactly: a stored count, and the program for the part of the one pre-token behind it."""
         ends, counts = table
         k = bisect_right(ends, end) - 1
         return counts[k] + (self.chunk(text[ends[k] : end]) if end > ends[k] else 0)
 
+    def _inside(self, part: str) -> list[int]:
+        """Token counts of the prefixes of a part between two stored prefixes, the empty and the whole one included."""
+        pieces = self._pre.pre_tokenize_str(part)
+        first = len(part) - len(part.lstrip())
+        word = part[first:]
+        letters = "".join(p for p, _ in pieces)
+        behind = pieces[-1][1][0] if pieces else 0
+        one_gap = len(self._pre.pre_tokenize_str(part[:first])) <= 1  # some control characters are white space here and not there
+        if any(s in part for s in self._specials) or behind > first or not one_gap or (word[:1] == "'" and len(word) > 1 and word[1].isalpha()) or len(letters) != len(part.encode()):
+            return [0, *(self.chunk(part[:end]) for end in range(1, len(part) + 1))]
+        at = [0, *accumulate(len(c.encode()) for c in part)]
+        # Inside the white space all of it is one pre-token; behind it the last pre-token grows and the ones before stay.
+        space = self.prefixes(letters[: at[first]])
+        counts = [space[x] for x in at[: first + 1]]
+        if word:
+            last = pieces[-1][0]
+            base, start = sum(self._whole(p) for p, _ in pieces[:-1]), len(letters) - len(last)
+            grown = self.prefixes(last)
+            counts += [base + grown[x - start] for x in at[first + 1 :]]
+        return counts
+
     def longest_prefix(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
         """Code points of the longest prefix of at most ``budget`` tokens."""
         ends, counts = table
         k = bisect_right(counts, budget) - 1
         if k == len(ends) - 1:
             return ends[k]
-        for end in range(ends[k + 1] - 1, ends[k], -1):
-            if counts[k] + self.chunk(text[ends[k] : end]) <= budget:
-                return end
-        return ends[k]
+        inside = self._inside(text[ends[k] : ends[k + 1]])
+        return ends[k] + max(n for n, c in enumerate(inside) if counts[k] + c <= budget)
 
 
 def token_counts(

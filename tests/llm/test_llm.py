@@ -182,6 +182,30 @@ def test_token_counts(odd, empty, documents):
     assert token_counts.truncate(odd, BPE, 3).filter("n_tokens > 3").count() == 0
 
 
+def test_token_prefixes():
+    """Every prefix and every budget of odd texts, and long texts without lone spaces in little time."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    library, counter, rng = Tokenizer.from_file(BPE), token_counts.PrefixCounter(BPE), random.Random(9)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    parts = ["a", "th", "the", "'s", "'re", "'", "''", "don't", " 'll", " ", "  ", "\n", "\t", "é", "日本", "1", "23", "!!", "<|endoftext|>", "\x1c", "\x85", " x", "ABC",
+             "   \n ", "\u2028", "\xa0", "²", "\x00"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        table, want = counter.table(text), [size(text[:e]) for e in range(len(text) + 1)]
+        assert [counter.tokens_at(text, table, e) for e in range(len(text) + 1)] == want, text
+        for budget in range(max(want) + 2):
+            assert counter.longest_prefix(text, table, budget) == max(e for e, n in enumerate(want) if n <= budget), (text, budget)
+    for text in ("".join(rng.choice("etaoinshr") for _ in range(100_000)), "x" * 100_000, " " * 100_000, "日本" * 30_000, "a" + " " * 50_000 + "b"):
+        start = time.process_time()
+        table = counter.table(text)
+        best = counter.longest_prefix(text, table, 500)
+        assert size(text[:best]) == counter.tokens_at(text, table, best) <= 500
+        assert time.process_time() - start < 5  # some tenths of a second
+
+
 def test_exact_dedup(odd, empty):
     rows = texts_of(odd)
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
@@ -299,6 +323,16 @@ def test_ngram_join_rows(odd, empty):
     assert kept.columns and {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in odd.collect()}
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Of rows that share an id the texts decide: a copy goes, a text of its own stays, of equal rows one stays."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one, "x"), (2, one, "y"), (2, two, "y"), (3, three, "b"), (3, three, "a"), (4, three + " more", "z"), (None, one, "n"), (5, None, "e"), (6, "", "e")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "doc_id long, text string, source string").repartition(3)
+        kept = sorted(ngram_join.keep_one(df).collect(), key=str)
+        assert kept == sorted((r for r in spark.createDataFrame([rows[0], rows[2], rows[5], rows[6], rows[7], rows[8]], df.schema).collect()), key=str)
+
+
 def test_shingles_long_words(monkeypatch):
     text = b"one " + b"y" * 3_000_000 + b" two Three\tfour " + b"z z " * 400_000
     whole = shingles.word_hashes(text)
