@@ -166,7 +166,8 @@ class Suffixes:
 
     def __init__(self, lang: str, words: list[str], ids: bytes, tail: int, frequent: np.ndarray):
         hashes = _word_hashes(lang, words)
-        kept = np.flatnonzero(_has(frequent, hashes))
+        # In order of the words, so that the lists of words that travel are sorted and shrink.
+        kept = np.array(sorted(np.flatnonzero(_has(frequent, hashes)).tolist(), key=words.__getitem__), np.int64)
         self.words, self.hashes = [words[k] for k in kept], np.concatenate([np.zeros(1, np.uint64), hashes[kept]])
         number = np.zeros(len(words) + 1, np.uint32)
         number[kept + 1] = np.arange(1, len(kept) + 1)
@@ -207,6 +208,17 @@ def merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[order[first]], np.add.reduceat(counts[order], first)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Columns of unsigned integers one after the other, the bytes of each place together, compressed."""
+    flat = np.ascontiguousarray(values.T).ravel()
+    return zlib.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 def _prefix_counts(frequent, extended, depth: int):
     """h, n: counts of the prefixes of ``depth`` words below the extended ones."""
 
@@ -257,17 +269,16 @@ def _leaves(frequent, extended, groups: int):
                         names, index = np.concatenate([[0], names]), index + 1
                     leaf = index.reshape(-1, DEPTH).astype("<u2" if len(names) <= 1 << 16 else "<u4")
                     most = s.counts[part].astype("<u1" if s.counts[part].max() < 256 else "<u8")
-                    out.append((int(g), row["lang"], " ".join(s.words[n - 1] for n in names[1:]),
-                                zlib.compress(np.ascontiguousarray(leaf.T).tobytes(), 1), zlib.compress(most.tobytes(), 1),
-                                leaf.itemsize, most.itemsize))
+                    listed = " ".join(s.words[n - 1] for n in names[1:])
+                    out.append((int(g), row["lang"], zlib.compress(listed.encode(), 1), pack(leaf), pack(most), leaf.itemsize, most.itemsize))
                 columns = zip(*out)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(_LEAF))
 
     return run
 
 
-_LEAF = {"group": "long", "lang": "string", "words": "string", "leaves": "binary", "counts": "binary", "wide": "int", "wide_n": "int"}
+_LEAF = {"group": "long", "lang": "string", "words": "binary", "leaves": "binary", "counts": "binary", "wide": "int", "wide_n": "int"}
 
 
 class Subtree:
@@ -276,11 +287,11 @@ class Subtree:
     def __init__(self, lang: str):
         self.lang, self.numbers, self.held, self.size, self.settled = lang, _Numbers(), [], 0, 0
 
-    def add(self, words: str, leaves: bytes, counts: bytes, wide: int, wide_n: int) -> None:
+    def add(self, words: bytes, leaves: bytes, counts: bytes, wide: int, wide_n: int) -> None:
         numbers = self.numbers
-        own = np.array([0] + [numbers[w] for w in words.split(" ")], np.uint32)
-        rows = own[np.frombuffer(zlib.decompress(leaves), f"<u{wide}").reshape(DEPTH, -1).T]
-        self.held.append((rows, np.frombuffer(zlib.decompress(counts), f"<u{wide_n}").astype(np.int64)))
+        own = np.array([0] + [numbers[w] for w in zlib.decompress(words).decode().split(" ")], np.uint32)
+        rows = own[unpack(leaves, wide).reshape(DEPTH, -1).T]
+        self.held.append((rows, unpack(counts, wide_n).astype(np.int64)))
         self.size += len(rows)
         if self.size > 2 * self.settled + 200_000:
             self.settle()
