@@ -262,6 +262,8 @@ def _key_runs(shingle: int, threshold: Threshold, ranges: int):
                         yield flush(digests, keys)
                         digests, keys, seen, size = [], [], set(), 0
         yield flush(digests, keys)
+        digests, keys, seen = [], [], set()
+        release_worker()
 
     return run
 
@@ -299,6 +301,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(unpack_keys(data))
             owners.append(np.frombuffer(names, np.int64)[np.frombuffer(at, f"<u{at[0]}", offset=1)])
     yield made()
+    release_worker()
 
 
 def _passing(threshold: Threshold):
@@ -338,6 +341,8 @@ def _by_work(columns: tuple[str, ...], use, names: dict[str, pa.DataType]):
                     group, rows = work, []
                 rows.append(tuple(row))
         yield made()
+        rows = []
+        release_worker()
 
     return run
 
@@ -527,8 +532,19 @@ def similar_components(
         return frame.join(side("a"), "d_a").join(side("b"), "d_b").mapInArrow(
             _passing(threshold), "a long, d_a long, b long, d_b long")
 
-    star = members.filter("d1 != low").select(F.col("low").alias("d_a"), F.col("d1").alias("d_b")).distinct()
-    links = materialize(_verified(materialize(pairs_of(star)), rows, shingle, threshold))
+    # Every set with the smallest one of each of its cells, and how many cells they share. Near copies share most of their cells with
+    # many others, so each set is first tied to the one it shares most with; points and sets travel for these pairs, and
+    # then only for pairs that are not of one component by that.
+    star = materialize(
+        members.filter("d1 != low").groupBy(F.col("low").alias("d_a"), F.col("d1").alias("d_b")).agg(F.count(F.lit(1)).alias("shared")))
+    best = star.groupBy("d_b").agg(F.max_by("d_a", F.struct("shared", "d_a")).alias("d_a"))
+    links = materialize(_verified(materialize(pairs_of(best)), rows, shingle, threshold))
+    rooted = materialize(
+        merged.select("d1", "doc").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("d1", F.coalesce("root", "doc").alias("root")))
+    apart = (
+        star.select("d_a", "d_b").join(rooted.toDF("d_a", "root_a"), "d_a").join(rooted.toDF("d_b", "root_b"), "d_b")
+        .filter("root_a != root_b").select("d_a", "d_b"))
+    links = materialize(links.union(_verified(materialize(pairs_of(apart)), rows, shingle, threshold)))
     roots = components(links)
 
     # Cells whose members are not all of one component; of cells with the same members one is enough.
@@ -564,8 +580,22 @@ def similar_components(
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, all columns. Rows without an id
-    are kept."""
-    found = similar_components(docs, shingle, num, den, doc_id, text)
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return join_checked(docs, materialize(drop), [doc_id], "left_anti")
+    """The document with the smallest id of each group of near duplicates, all columns.
+
+    Rows without an id are kept. Rows are told apart by id and text: of equal rows one is kept (the one whose other columns come first as
+    JSON), and rows that share an id but not the text are separate documents, which come after all ids that are in one row only.
+    """
+    columns = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__near_row")]
+    shared = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(doc_id)).agg(F.count(F.lit(1)).alias("__near_rows")).filter("__near_rows > 1")
+    shared = materialize(shared.select(doc_id))
+    if shared.isEmpty():
+        found = similar_components(docs, shingle, num, den, doc_id, text)
+        drop = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+        return join_checked(docs, materialize(drop), [doc_id], "left_anti")
+    # Rows of ids that several rows have: one of each (id, text), under a number of its own above all other ids.
+    rest = join_checked(docs, shared, [doc_id], "left_anti").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *columns)
+    again = join_checked(docs, shared, [doc_id], "left_semi").select(
+        (F.lit(1 << 62) + F.xxhash64(doc_id, text).bitwiseAND((1 << 61) - 1)).alias("doc_id"), F.col(text).alias("text"), *columns)
+    once = again.groupBy("doc_id", "text").agg(F.min_by("__near_row", F.to_json("__near_row")).alias("__near_row"))
+    both = materialize(rest.unionByName(once))
+    return keep_one(both, shingle, num, den).select("__near_row.*")
