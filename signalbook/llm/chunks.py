@@ -7,6 +7,7 @@ a chunk (its ids, its number of tokens, its likelihoods) is computed once per wo
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
@@ -34,9 +35,13 @@ def release_worker() -> None:
     """Give back what earlier tasks have left in this Python worker."""
     held = sys.modules.setdefault(_WORKER, types.ModuleType(_WORKER)).__dict__
     held.pop("key", None)
-    if held.pop("value", None) is not None:
-        gc.collect()
+    held.pop("value", None)
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    # What is free inside the C heap stays with the process unless it is asked for; idle workers would keep it.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -72,7 +77,7 @@ class ChunkMemo:
             wanted = led
             if None in values:
                 missing = [i for i, v in enumerate(values) if v is None]
-                if len(parts) > 1 and any(_touches_space(parts[i]) for i in missing):
+                if len(parts) > 1 and _touches_space([parts[i] for i in missing]):
                     # Runs of white space: cut only where a single space stands alone.
                     parts, wanted = cut(text), whole
                     values = list(map(self._whole.get, parts))
@@ -89,13 +94,15 @@ class ChunkMemo:
         return [r[0] for r in rows]
 
     def _fill(self, keys: list[str], lead: str) -> dict:
-        old = self._old[lead]
-        found = {k: old[k] for k in keys if k in old}
-        unknown = [k for k in keys if k not in found]
+        found = dict(zip(keys, map(self._old[lead].get, keys)))
+        unknown = [k for k, v in found.items() if v is None]
         if unknown:
-            found.update(zip(unknown, self._compute([lead + k for k in unknown])))
+            found.update(zip(unknown, self._compute([lead + k for k in unknown] if lead else unknown)))
         memo = self._led if lead else self._whole
-        memo.update((k, v) for k, v in found.items() if len(k) <= self._longest)
+        if max(map(len, keys)) <= self._longest:
+            memo.update(found)
+        else:
+            memo.update((k, v) for k, v in found.items() if len(k) <= self._longest)
         if len(memo) > self._limit:
             self._old[lead] = memo
             if lead:
@@ -105,8 +112,9 @@ class ChunkMemo:
         return found
 
 
-def _touches_space(part: str) -> bool:
-    return not part or part[0].isspace() or part[-1].isspace()
+def _touches_space(parts: list[str]) -> bool:
+    """True if one of the parts is empty, or begins or ends with white space."""
+    return "" in parts or [p.strip() for p in parts] != parts
 
 
 def cut(text: str) -> list[str]:

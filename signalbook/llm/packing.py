@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ROWS = 50_000
+_ROWS = 20_000
+_ENCODED = 8192  # chunks encoded at once
 
 
 class IdEncoder:
@@ -35,11 +39,20 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._memo = ChunkMemo(self._encode, 300_000)
+        self._memo = ChunkMemo(self._encode, 250_000)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+        # A part at a time: the library's result objects are a hundred times as large as the ids.
+        return [ids for k in range(0, len(chunks), _ENCODED) for ids in self._part(chunks[k : k + _ENCODED])]
+
+    def _part(self, chunks: list[str]) -> list[bytes]:
+        lists = [e.ids for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = array("I", chain.from_iterable(lists))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        data = ids.tobytes()
+        ends = [4 * n for n in accumulate(map(len, lists), initial=0)]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [b"".join(v) if t else b"" for t, v in zip(texts, self._memo.many(texts))]
