@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_streaming import RUN, files_stream
@@ -71,3 +72,50 @@ def test_last_change(spark, tmp_path, slot):
         near = best if best and m - best[0] <= 60 else None
         want.append((i, c, near and near[1], near and near[2], near and (m - near[0]) * 60))
     assert got == sorted(want)
+
+
+class _Value:
+    """A value state that counts how often it is read and written."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.held is not None
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls += 1
+        self.held = value
+
+
+class _Handle:
+    """Knows one value state and neither maps nor timers: their calls would be one or more a slot."""
+
+    def __init__(self):
+        self.value = _Value()
+
+    def getValueState(self, name, schema):
+        return self.value
+
+
+def test_usage_touches_its_state_once_a_trigger():
+    """Five hundred slots in disorder and in two batches cost as many state calls as one; the next trigger goes on from them."""
+    handle, usage = _Handle(), stateful.UsageInOrder(2, 0.6)
+    usage.init(handle)
+    slots = [(i * 1000, bytes([i % 2, 0, 1])) for i in range(1, 501)]
+    random.Random(5).shuffle(slots)
+    parts = [pd.DataFrame(slots[k : k + 250], columns=["closed_ms", "outcomes"]) for k in (0, 250)]
+    out = pd.concat(usage.handleInputRows((7,), iter(parts), None))
+    flags = [f for _, outcomes in sorted(slots) for f in outcomes]
+    first = next(n for n in range(2, 1501) if sum(flags[:n]) / n >= 0.6)
+    want = [(7, pd.Timestamp(i, unit="s"), 3 * i, sum(flags[: 3 * i]), first if first <= 3 * i else 0) for i in range(1, 501)]
+    assert list(out.itertuples(index=False, name=None)) == want
+    assert handle.value.calls <= 3
+    late = pd.DataFrame({"closed_ms": [501_000], "outcomes": [b"\x01"]})
+    [row] = pd.concat(usage.handleInputRows((7,), iter([late]), None)).itertuples(index=False, name=None)
+    assert row == (7, pd.Timestamp(501, unit="s"), 1501, sum(flags) + 1, first)
