@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbook import rules
@@ -68,11 +68,22 @@ def dedup_stream(stream: DataFrame, delay: str = "1 hour", text: str = "question
 
 
 def correlate_stream(changes: DataFrame, alarms: DataFrame, within: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Alarms with the changes of their cell in the time before; both sides forget by watermark."""
+    """Alarms with the changes of their cell in the time before; both sides forget by watermark.
+
+    Rows meet by cell and time slot, a slot as long as ``within``: an alarm lies in its own slot, a change in all that its reach
+    runs into. An alarm is tested against the changes of about twice that time, not against all that its cell keeps.
+    """
+    reach = F.expr(f"interval {within}")
+    length = F.greatest(F.unix_micros(F.timestamp_seconds(F.lit(0)) + reach), F.lit(1_000_000))
+
+    def slot(at: Column) -> Column:
+        return F.floor(F.unix_micros(at) / length)
+
     c = changes.select(F.col("cell_id").alias("c_cell"), "change_id", "param", "time").withWatermark("time", delay)
-    a = alarms.withWatermark("raised_time", delay)
-    near = (F.col("cell_id") == F.col("c_cell")) & (F.col("raised_time") >= F.col("time")) & (
-        F.col("raised_time") <= F.col("time") + F.expr(f"interval {within}"))
+    c = c.withColumn("c_slot", F.explode(F.sequence(slot(F.col("time")), slot(F.col("time") + reach))))
+    a = alarms.withWatermark("raised_time", delay).withColumn("_slot", slot(F.col("raised_time")))
+    near = (F.col("cell_id") == F.col("c_cell")) & (F.col("_slot") == F.col("c_slot")) & (
+        F.col("raised_time") >= F.col("time")) & (F.col("raised_time") <= F.col("time") + reach)
     return a.join(c, near).select("alarm_id", "cell_id", "change_id", "param")
 
 

@@ -54,3 +54,18 @@ def test_sessions(spark, tmp_path):
     ])
     rows = jobs.run_available(jobs.alarm_sessions(s)).orderBy("start").collect()
     assert [r.alarms for r in rows] == [2, 1]
+
+
+def test_changes_meet_alarms_by_slot(spark, tmp_path):
+    """Pairs up to the ends of the range and over slots, each once; a busy cell's rows meet by cell and slot, not by cell alone."""
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    changes, alarms = [(i, m) for i, m in enumerate(range(0, 900, 45))], [(i, m) for i, m in enumerate(range(0, 1000, 30))]
+    rows = [(0, i, "hot", at(m)) for i, m in changes] + [(1, i, "hot", at(m)) for i, m in alarms] + [(0, 90, None, at(5)), (1, 91, None, at(5)), (0, 92, "hot", None)]
+    s = files_stream(spark, tmp_path, "kind int, id long, cell_id string, at timestamp", [rows[::2], rows[1::2]])
+    for within, minutes in (("1 hour", 60), ("1 day", 1440), ("90 seconds", 1)):
+        live = jobs.correlate_stream(
+            s.filter("kind = 0").select(F.col("id").alias("change_id"), "cell_id", F.lit("p").alias("param"), F.col("at").alias("time")),
+            s.filter("kind = 1").select(F.col("id").alias("alarm_id"), "cell_id", F.col("at").alias("raised_time")), within, "2 days")
+        got = sorted(map(tuple, jobs.run_available(live).collect()))
+        assert got == sorted((a, "hot", c, "p") for a, am in alarms for c, cm in changes if 0 <= am - cm <= minutes)
+        assert "_slot" in live._jdf.queryExecution().analyzed().toString()
