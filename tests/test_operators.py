@@ -335,6 +335,22 @@ def test_contained_items(spark):
     assert similarity.contained_items(docs, items.filter("false")).count() == 0
 
 
+def test_contained_items_without_comparing_all_ngrams(spark, monkeypatch):
+    """n-grams of a text are made distinct by hash, not each against all, and stay in place beside few items; many items give the same."""
+    item = " ".join(f"w{i}" for i in range(20))
+    long = " ".join(f"x{i % 9000}" for i in range(18_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long} {item}"), (2, long), (2, item), (2, item)], "row_id long, question string")
+    items = spark.createDataFrame([(7, item), (8, long), (8, long)], "item_id long, text string")
+    want = [(1, 7, 13, 13), (1, 8, 18_000, 9000), (2, 7, 26, 13), (2, 8, 18_000, 9000)]
+    for few in (200_000, 0):
+        monkeypatch.setattr(similarity, "ITEM_GRAMS", few)
+        got = similarity.contained_items(docs, items)
+        plan = got._jdf.queryExecution()
+        assert "array_distinct(transform" in plan.analyzed().toString() and "struct(a," not in plan.analyzed().toString()
+        assert ("BroadcastHashJoin" in plan.executedPlan().toString()) or not few
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_inventory(spark):
     df = spark.createDataFrame([("a/b.TXT", 3), ("a/c.txt", 4), ("a/.hidden", 1), ("d", None), (None, 2)], "p string, n long")
     got = {tuple(r) for r in specs.inventory(df, "p", "n").collect()}
