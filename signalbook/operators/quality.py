@@ -32,12 +32,19 @@ def specificity(c: Column, markers=None) -> Column:
 
 def first_topic(question: Column, answer: Column, topics: dict[str, list[str]]) -> Column:
     """First topic in table order with a keyword in question or answer; null if none."""
+    if not topics:
+        return F.lit(None).cast("string")
+
+    def pick(text: Column) -> Column:
+        out = None
+        for name, keywords in topics.items():
+            hit = contains_any(text, keywords)
+            out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+        return out
+
+    # Bound by the lambda, the text is lower-cased once; as a plain expression it would be anew for every keyword.
     text = F.concat(F.lower(question), F.lit(" "), F.lower(answer))
-    out = None if topics else F.lit(None).cast("string")
-    for name, keywords in topics.items():
-        hit = contains_any(text, keywords)
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out
+    return F.get(F.transform(F.array(text), pick), F.lit(0))
 
 
 def topic_coverage(df: DataFrame, question: str, answer: str, topics=None) -> DataFrame:

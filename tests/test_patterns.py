@@ -68,3 +68,13 @@ def test_empty_tables_have_no_entries(spark):
     assert mix.seeds_for(bank, {}).collect() == []
     plan = spark.createDataFrame([("i", 1, "kpi_lookup", "c", "s", "r")], "inv_id string, step int, tool string, cell_id string, site_id string, region string")
     assert evidence.complete_plan(plan, []).count() == 1
+
+
+def test_topics_lower_the_text_once(spark):
+    """However many keywords there are, question and answer are lower-cased once each."""
+    topics = {f"t{i}": [f"word{i}x", f"term{i}x"] for i in range(30)}
+    rows = [("A WORD7X here", "none"), ("none", "Term3x and WORD7x"), ("x", "y"), (None, "word1x"), ("term29", "X")]
+    df = spark.createDataFrame(rows, "q string, a string")
+    out = df.repartition(2).select("q", "a", quality.first_topic(F.col("q"), F.col("a"), topics).alias("topic"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    assert {(r.q, r.a): r.topic for r in out.collect()} == dict(zip(rows, ["t7", "t3", None, None, None]))
