@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalbook.session import materialize
+
 PART_BYTES = 16 << 20  # of patterns sent to a task at once
 
 
@@ -54,7 +56,8 @@ def rule_matches(
     empty patterns are in nothing; rules with the same pattern match alike, a rule listed with several patterns counts all of them, a repeated
     one once. Repeated rows of ``df`` give results each. Other columns of both are not read.
     """
-    table = rules.filter(F.length(pattern) > 0).select(F.col(rule).alias("rule"), F.lower(F.col(pattern)).alias("pattern")).distinct()
+    # Every part reads the table again: it is made once, whatever it is derived from.
+    table = materialize(rules.filter(F.length(pattern) > 0).select(F.col(rule).alias("rule"), F.lower(F.col(pattern)).alias("pattern")).distinct())
     size = table.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
     schema = T.StructType([

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalbook.operators import patterns
 from signalbook.plans.catalog import query, table
+from signalbook.session import materialize
 
 # Five pairs of words from the start of every document; their label is the first letter, the longest comes first.
 RULES_SQL = r"""
@@ -24,7 +25,7 @@ def rule_table(spark, sf):
 
 
 def _found(spark, sf):
-    d, rules = table(spark, sf, "documents"), rule_table(spark, sf)
+    d, rules = table(spark, sf, "documents"), materialize(rule_table(spark, sf))
     return d, rules, patterns.rule_matches(d, rules, "doc_id", "text")
 
 

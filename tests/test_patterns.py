@@ -78,3 +78,20 @@ def test_topics_lower_the_text_once(spark):
     out = df.repartition(2).select("q", "a", quality.first_topic(F.col("q"), F.col("a"), topics).alias("topic"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
     assert {(r.q, r.a): r.topic for r in out.collect()} == dict(zip(rows, ["t7", "t3", None, None, None]))
+
+
+def test_rules_are_derived_once_for_all_parts(spark):
+    """Many parts of a table that a job derives do not run that job many times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def derive(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    made = [(i, f"word{i}x", "a", 0) for i in range(200)]
+    table = spark.createDataFrame(made, RULES).repartition(2).mapInPandas(derive, RULES)
+    df = spark.createDataFrame([(1, "word3x WORD199X"), (2, "word0x")], "row_id long, text string")
+    got = patterns.rule_matches(df, table, part_bytes=2000)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 1), (1, 199, 1), (2, 0, 1)]
+    assert seen.value == 200
