@@ -51,6 +51,18 @@ def test_usage_of_a_busy_agent(spark, tmp_path):
     assert got == want
 
 
+def test_runs_without_an_agent_are_an_agent_of_their_own(spark, tmp_path):
+    """Null agents are counted together and leave the agents beside them alone."""
+    runs = [(i, None if i % 3 == 0 else i % 40, at(i), i % 2 == 0) for i in range(240)]
+    s = files_stream(spark, tmp_path, RUN, [runs, [(999, 99, at(100_000), True)]])
+    out = jobs.run_available(stateful.usage_in_order(s, "1 hour", "1 hour"))
+    got = {r.agent_id: (r.uses, r.wins) for r in out.groupBy("agent_id").agg(F.max("uses").alias("uses"), F.max("wins").alias("wins")).collect()}
+    want = {}
+    for _, a, _, ok in runs:
+        want[a] = (want.get(a, (0, 0))[0] + 1, want.get(a, (0, 0))[1] + ok)
+    assert got == want
+
+
 @pytest.mark.parametrize("slot", [600, 3600, 50_000])
 def test_last_change(spark, tmp_path, slot):
     """A hot cell cut into slots; ties, alarms without a change, changes of earlier slots."""
@@ -110,12 +122,12 @@ def test_usage_touches_its_state_once_a_trigger():
     slots = [(i * 1000, bytes([i % 2, 0, 1])) for i in range(1, 501)]
     random.Random(5).shuffle(slots)
     parts = [pd.DataFrame(slots[k : k + 250], columns=["closed_ms", "outcomes"]) for k in (0, 250)]
-    out = pd.concat(usage.handleInputRows((7,), iter(parts), None))
+    out = pd.concat(usage.handleInputRows((7, False), iter(parts), None))
     flags = [f for _, outcomes in sorted(slots) for f in outcomes]
     first = next(n for n in range(2, 1501) if sum(flags[:n]) / n >= 0.6)
     want = [(7, pd.Timestamp(i, unit="s"), 3 * i, sum(flags[: 3 * i]), first if first <= 3 * i else 0) for i in range(1, 501)]
     assert list(out.itertuples(index=False, name=None)) == want
     assert handle.value.calls <= 3
     late = pd.DataFrame({"closed_ms": [501_000], "outcomes": [b"\x01"]})
-    [row] = pd.concat(usage.handleInputRows((7,), iter([late]), None)).itertuples(index=False, name=None)
+    [row] = pd.concat(usage.handleInputRows((7, False), iter([late]), None)).itertuples(index=False, name=None)
     assert row == (7, pd.Timestamp(501, unit="s"), 1501, sum(flags) + 1, first)
