@@ -128,6 +128,32 @@ def test_full_comparison_with_crowded_keys(spark):
     assert {r.uid for r in got.collect()} == want
 
 
+def test_full_comparison_moves_few_rows(spark, monkeypatch):
+    """Long texts of one language share most of their parts; what is written stays a few rows a text, and exact over all sizes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (60, 150, 160, 400, 420, 900) for _ in range(6)]
+    for i in range(0, len(texts), 3):
+        copy = texts[i].split()
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // (9 if i % 2 else 40))):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    grams = [_grams(t) for t in texts]
+    want = {i for i in range(len(texts)) if any(_sim(grams[i], grams[j]) >= 0.8 for j in range(i))}
+    assert want and len({similarity.sketch_words(len(g)) for g in grams}) > 2
+    written, real = [], similarity.materialize
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    monkeypatch.setattr(similarity, "RANGE_ROWS", 10)
+    assert {r.row_id for r in similarity.near_dups_all(questions(spark, texts), 0.8).collect()} == want
+    assert sum(written) < 20 * len(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcd", min_size=3, max_size=40), st.text("abcd", min_size=3, max_size=40), st.sampled_from([0.5, 0.8, 0.85, 0.95]))
 def test_similar_sets_share_a_key(a, b, t):
