@@ -13,12 +13,11 @@ from __future__ import annotations
 
 import os
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +28,12 @@ from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ROWS = 20_000
 _ENCODED = 8192  # chunks encoded at once
+_JOINED = 256  # of them in one string
+
+
+def _split(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, ends = ids.tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class IdEncoder:
@@ -36,23 +41,45 @@ class IdEncoder:
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, decoders
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._memo = ChunkMemo(self._encode, 250_000)
+        # Bytes that an id stands for. Byte-level tokens have a character for each byte, added ones stand as they are.
+        self._bytes = None
+        if isinstance(self._tokenizer.decoder, decoders.ByteLevel) and self._tokenizer.normalizer is None:
+            vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+            self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self._bytes[i] = len(token)
+            for i, token in self._tokenizer.get_added_tokens_decoder().items():
+                self._bytes[i] = len(token.content.encode())
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         # A part at a time: the library's result objects are a hundred times as large as the ids.
         return [ids for k in range(0, len(chunks), _ENCODED) for ids in self._part(chunks[k : k + _ENCODED])]
 
     def _part(self, chunks: list[str]) -> list[bytes]:
-        lists = [e.ids for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids = array("I", chain.from_iterable(lists))
-        if sys.byteorder != "little":
-            ids.byteswap()
-        data = ids.tobytes()
-        ends = [4 * n for n in accumulate(map(len, lists), initial=0)]
-        return [data[a:b] for a, b in zip(ends, ends[1:])]
+        # A space between other characters starts a pre-token, so chunks that begin with one may follow one another.
+        if self._bytes is None or not all(len(c) > 1 and c[0] == " " and c.strip() == c[1:] for c in chunks):
+            return self._apart(chunks)
+        ids, _ = self._ids(["".join(chunks[k : k + _JOINED]) for k in range(0, len(chunks), _JOINED)])
+        wanted = np.cumsum([0, *map(len, map(str.encode, chunks))])
+        reached = np.concatenate([[0], np.cumsum(self._bytes[ids])])
+        ends = np.searchsorted(reached, wanted)
+        if reached[-1] != wanted[-1] or (reached[ends] != wanted).any():
+            return self._apart(chunks)  # a token over the end of a chunk
+        return _split(ids, ends)
+
+    def _apart(self, chunks: list[str]) -> list[bytes]:
+        ids, sizes = self._ids(chunks)
+        return _split(ids, np.cumsum([0, *sizes]))
+
+    def _ids(self, strings: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of the strings in a row, and how many each has."""
+        lists = [e.ids for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        sizes = list(map(len, lists))
+        return np.fromiter(chain.from_iterable(lists), "<u4", sum(sizes)), sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [b"".join(v) if t else b"" for t, v in zip(texts, self._memo.many(texts))]

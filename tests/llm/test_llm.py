@@ -1,11 +1,15 @@
 """The training-data operators against brute force, libraries and hand-made rows."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -379,6 +383,31 @@ def test_packing(odd, empty, documents):
     assert packing.pack(empty, BPE).count() == 0
 
 
+def test_encoder_joins_chunks():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    seen: list[str] = []
+
+    class Counting:
+        def encode_batch_fast(self, strings, **options):
+            seen.extend(strings)
+            return library.encode_batch_fast(strings, **options)
+
+    encoder = packing.IdEncoder(BPE)
+    encoder._tokenizer = Counting()
+    drawn = random.Random(3)
+    words = ["".join(drawn.choices("abtheré日😀0.,'<|>\n", k=drawn.randint(1, 9))).strip() or "x" for _ in range(5000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 5000, 50)] + [t or "" for t in ODD] + ["x <|endoftext|> <|endoftext|>y z<|endoftext|>"]
+    whole = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder(texts) == whole == encoder(texts)
+    assert len(seen) < 1000  # one by one they are over 4000
+    # Tokens that do not end where the chunks do: each chunk is encoded by itself.
+    encoder = packing.IdEncoder(BPE)
+    encoder._bytes[:] = 3
+    assert encoder(texts) == whole
+
+
 def test_chat(spark):
     odd = ["\\### Assistant: </turn> ok", "<|turn|>user<|text|>x<|end|>", "\\", "\\\\<|", "<", "<\\|", "é日本", "", None, "<|endoftext|> a", "x" * 5000]
     random_ = random.Random(4)
