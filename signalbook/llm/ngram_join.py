@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from signalbook.llm.chunks import release_worker, slices
 from signalbook.llm.components import components
-from signalbook.llm.frames import join_checked, materialize
+from signalbook.llm.frames import join_checked, materialize, shuffles_dropped
 from signalbook.llm.shingles import mix, shingle_set
 
 # Bits of a band's key; keys of one run, and of one range of them; documents of a run that crowd a cell.
@@ -458,9 +458,10 @@ def _sets(ends: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """
     bits = bytearray(_BITS // 8)
     place = f"pmod(doc_id, {_BITS})"
-    words = ends.groupBy(F.expr(f"cast({place} div 32 as int)").alias("w")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast({place} % 32 as int)))").alias("v"))
-    for r in words.collect():
+    with shuffles_dropped(docs.sparkSession):
+        words = ends.groupBy(F.expr(f"cast({place} div 32 as int)").alias("w")).agg(
+            F.expr(f"bit_or(shiftleft(1L, cast({place} % 32 as int)))").alias("v")).collect()
+    for r in words:
         bits[4 * r["w"] : 4 * r["w"] + 4] = int(r["v"]).to_bytes(4, "little")
     sets = docs.mapInArrow(_sets_of(shingle, bytes(bits)), "doc_id long, d1 long, hashes array<long>")
     return materialize(sets.join(ends, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]))
@@ -519,7 +520,8 @@ def similar_components(
     merged = materialize(filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc"), F.first("point").alias("point")))
 
     # Members of the cells of two different sets at least, each with the smallest member it has met.
-    ranges = max(64, (filled.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS)
+    with shuffles_dropped(docs.sparkSession):
+        ranges = max(64, (filled.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS)
     runs = rows.mapInArrow(
         _key_runs(shingle, threshold, ranges), "range long, owners binary, keys binary, at binary, key long, d1 long, low long")
     members = materialize(

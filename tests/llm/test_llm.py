@@ -408,6 +408,36 @@ def test_encoder_joins_chunks():
     assert encoder(texts) == whole
 
 
+def test_no_shuffle_files_stay(tmp_path):
+    """Finished steps leave no shuffle files to the garbage collection of the driver."""
+    code = """
+import pathlib, sys, time
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__
+from pyspark.sql import functions as F
+from signalbook.llm.components import components
+from signalbook.session import local_session, materialize
+spark = local_session("files", 2)
+files = lambda: [p for p in pathlib.Path(sys.argv[2]).rglob("shuffle_*") if p.exists()]
+def left():
+    for _ in range(50):
+        if not files():
+            break
+        time.sleep(0.2)
+    return len(files())
+grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+kept = materialize(grouped)
+a = left()
+links = components(spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+b = left()
+print("left", a, b, "rows", sorted(map(tuple, grouped.collect())) == sorted(map(tuple, kept.collect())), links.filter("root = 0").count(),
+      spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None))
+"""
+    env = os.environ | {"SPARK_LOCAL_DIRS": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[2]), str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "left 0 0 rows True 20 None" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
 def test_chat(spark):
     odd = ["\\### Assistant: </turn> ok", "<|turn|>user<|text|>x<|end|>", "\\", "\\\\<|", "<", "<\\|", "é日本", "", None, "<|endoftext|> a", "x" * 5000]
     random_ = random.Random(4)
