@@ -19,16 +19,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.chunks import ChunkMemo, slices, worker_cached
+from signalbook.llm.chunks import ChunkMemo, distinct_chunks, slices, strings, worker_cached
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ROWS = 20_000
 _ENCODED = 8192  # chunks encoded at once
-_JOINED = 256  # of them in one string
+_JOINED = 32  # of them in one string
+_SLICE = 250  # texts whose chunks are made distinct together
+_MARKS = ".,;:!?"
 
 
 def _split(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -41,7 +44,7 @@ class IdEncoder:
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
-        from tokenizers import Tokenizer, decoders
+        from tokenizers import Tokenizer, decoders, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._memo = ChunkMemo(self._encode, 250_000)
@@ -54,6 +57,10 @@ class IdEncoder:
                 self._bytes[i] = len(token)
             for i, token in self._tokenizer.get_added_tokens_decoder().items():
                 self._bytes[i] = len(token.content.encode())
+        # Byte-level pre-tokens end between a letter and a mark; not so if an added token may lie across.
+        start, added = self._tokenizer.pre_tokenizer, self._tokenizer.get_added_tokens_decoder().values()
+        self._cuts_marks = self._bytes is not None and isinstance(start, pre_tokenizers.ByteLevel) and start.use_regex
+        self._cuts_marks &= not any(mark in token.content for mark in _MARKS for token in added)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         # A part at a time: the library's result objects are a hundred times as large as the ids.
@@ -61,8 +68,16 @@ class IdEncoder:
 
     def _part(self, chunks: list[str]) -> list[bytes]:
         # A space between other characters starts a pre-token, so chunks that begin with one may follow one another.
-        if self._bytes is None or not all(len(c) > 1 and c[0] == " " and c.strip() == c[1:] for c in chunks):
+        fit = [len(c) > 1 and c[0] == " " and c.strip() == c[1:] for c in chunks]
+        if self._bytes is None or not any(fit):
             return self._apart(chunks)
+        if all(fit):
+            return self._together(chunks)
+        together = iter(self._together([c for c, f in zip(chunks, fit) if f]))
+        apart = iter(self._apart([c for c, f in zip(chunks, fit) if not f]))
+        return [next(together if f else apart) for f in fit]
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
         ids, _ = self._ids(["".join(chunks[k : k + _JOINED]) for k in range(0, len(chunks), _JOINED)])
         wanted = np.cumsum([0, *map(len, map(str.encode, chunks))])
         reached = np.concatenate([[0], np.cumsum(self._bytes[ids])])
@@ -81,8 +96,32 @@ class IdEncoder:
         sizes = list(map(len, lists))
         return np.fromiter(chain.from_iterable(lists), "<u4", sum(sizes)), sizes
 
+    def _later(self, keys: pa.Array) -> list[bytes]:
+        """Ids of different chunks that follow a space, which the keys lack."""
+        if not self._cuts_marks:
+            return self._memo.distinct(strings(keys), " ")
+        # Words are remembered without the marks after them. Letters to U+024F are letters to any tokenizer.
+        bare = pc.utf8_rtrim(keys, _MARKS)
+        last = pc.utf8_slice_codeunits(bare, -1)
+        marked = pc.and_(pc.and_(pc.utf8_is_alpha(last), pc.less_equal(last, "\u024f")), pc.not_equal(bare, keys))
+        words = pc.if_else(marked, bare, keys).dictionary_encode()
+        values = self._memo.distinct(strings(words.dictionary), " ")
+        values = list(map(values.__getitem__, words.indices.to_numpy().tolist()))
+        marks = [key[len(word) :] for key, word in zip(strings(keys.filter(marked)), strings(bare.filter(marked)))]
+        ids = self._whole(marks)
+        for i, mark in zip(pc.indices_nonzero(marked).to_numpy().tolist(), marks):
+            values[i] += ids[mark]
+        return values
+
+    def _whole(self, chunks: list[str]) -> dict[str, bytes]:
+        different = list(dict.fromkeys(chunks))
+        return dict(zip(different, self._memo.distinct(different, "")))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) if t else b"" for t, v in zip(texts, self._memo.many(texts))]
+        firsts, keys, places, starts, ends = distinct_chunks(texts)
+        first, later = self._whole(firsts), self._later(keys).__getitem__
+        spans = zip(firsts, starts.tolist(), ends.tolist())
+        return [b"".join([first[t], *map(later, places[a:b].tolist())]) for t, a, b in spans]
 
 
 def piece_lengths(total: int, capacity: int, smallest: int) -> list[int]:
@@ -168,7 +207,7 @@ def pack(
             sequence += 1
 
         for batch in batches:
-            for docs_, values in slices(batch):
+            for docs_, values in slices(batch, _SLICE):
                 for doc, ids in zip(docs_, encode(values)):
                     ids += end
                     total, start = len(ids) // 4, 0

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalbook.llm import chat_format, exact_dedup, html_extract, language_id, line_dedup, neighbours, ngram_join
-from signalbook.llm import packing, sentencepiece_codec, shingles, token_counts
+from signalbook.llm import chunks, packing, sentencepiece_codec, shingles, token_counts
 from signalbook.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -408,6 +408,41 @@ def test_encoder_joins_chunks():
     assert encoder(texts) == whole
 
 
+def test_encoder_meets_a_chunk_once():
+    from tokenizers import Tokenizer
+
+    encoder, library = packing.IdEncoder(BPE), Tokenizer.from_file(BPE)
+    asked: list[str] = []
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return dict.get(self, key, default)
+
+    encoder._memo._led, encode, computed = Counting(), encoder._memo._compute, []
+    encoder._memo._compute = lambda chunks: computed.extend(chunks) or encode(chunks)
+    texts = ["one two two, two. three's! été; 3, 3" * 50] * 40
+    assert encoder(texts) == [np.array(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()] * 40
+    assert len(asked) <= 10  # it was over 14,000, one for each occurrence
+    assert len(computed) == len(set(computed)) and not {" two,", " two."} & set(computed)
+
+
+def test_encoder_cuts():
+    """Marks, letters outside the known ones, line breaks and runs of white space: the ids of the whole text."""
+    from tokenizers import Tokenizer
+
+    library, drawn = Tokenizer.from_file(BPE), random.Random(8)
+    parts = ["foo", "Bar", "é", "ª", "ɐ", "ꟍ", "\n", "\n\n", " ", "  ", ".", ",", "!?", "'s", "'", "12", "½", "<|endoftext|>", "\r\n", "_", "日", " x", " y", "\x1c"]
+    texts = ["".join(drawn.choices(parts, k=drawn.randint(0, 14))) for _ in range(4000)]
+    assert packing.IdEncoder(BPE)(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    firsts, keys, places, starts, ends = chunks.distinct_chunks(texts)
+    keys = keys.to_pylist()
+    assert len(keys) == len(set(keys))
+    for i, text in enumerate(texts):
+        assert [firsts[i]] + [" " + keys[p] for p in places[starts[i] : ends[i]]] == chunks.cut(text)
+    assert packing.IdEncoder(BPE)([]) == [] and packing.IdEncoder(BPE)([""]) == [b""]
+
+
 def test_no_shuffle_files_stay(tmp_path):
     """Finished steps leave no shuffle files to the garbage collection of the driver."""
     code = """
