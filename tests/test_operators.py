@@ -154,6 +154,30 @@ def test_full_comparison_moves_few_rows(spark, monkeypatch):
     assert sum(written) < 20 * len(texts)
 
 
+def test_full_comparison_moves_no_text_per_pair(spark, monkeypatch):
+    """Blocks of texts meet where they are written: between them and their comparison nothing is shuffled. Sets of more trigrams than 16 bits number, too."""
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    texts = ["".join(rng.choice(letters) for _ in range(900)) for _ in range(80)]
+    for i in range(0, 80, 4):
+        copy = list(texts[i])
+        for at in rng.sample(range(900), 10 if i % 8 else 60):
+            copy[at] = rng.choice(letters)
+        texts.append("".join(copy))
+    grams = [_grams(t) for t in texts]
+    assert len(set().union(*grams)) > 1 << 16
+    want = {i for i in range(len(texts)) if any(_sim(grams[i], grams[j]) >= 0.8 for j in range(i))}
+    df = spark.createDataFrame([(i, t, True, True) for i, t in enumerate(texts)], "uid long, text string, in_index boolean, in_probe boolean")
+    for bucket_rows in (1000, 9):
+        plans, real = [], similarity.materialize
+        with monkeypatch.context() as m:
+            m.setattr(similarity, "materialize", lambda x: (plans.append(x._jdf.queryExecution().sparkPlan().toString()), real(x))[1])
+            assert want and {r.uid for r in similarity.rows_with_partner(df, 0.8, earlier_only=True, bucket_rows=bucket_rows).collect()} == want
+        (met,) = (p for p in plans if "CartesianProduct" in p)
+        assert "Exchange" not in met.split("CartesianProduct")[1] and "RepartitionByExpression" not in met
+        assert sum("MapInArrow _pack" in p for p in plans) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcd", min_size=3, max_size=40), st.text("abcd", min_size=3, max_size=40), st.sampled_from([0.5, 0.8, 0.85, 0.95]))
 def test_similar_sets_share_a_key(a, b, t):
