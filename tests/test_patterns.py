@@ -95,3 +95,65 @@ def test_rules_are_derived_once_for_all_parts(spark):
     got = patterns.rule_matches(df, table, part_bytes=2000)
     assert sorted(map(tuple, got.collect())) == [(1, 3, 1), (1, 199, 1), (2, 0, 1)]
     assert seen.value == 200
+
+
+@pytest.mark.parametrize("whole, part_bytes, block_chars", [(False, 1 << 20, 1 << 17), (True, 1500, 40), (False, 1500, 40)])
+def test_rules_in_parts_and_texts_in_pieces(spark, whole, part_bytes, block_chars):
+    """Parts by length and texts longer than a block give the same rows, each (row, rule) once; letters of all widths, and zero."""
+    rng = random.Random(2)
+    word = lambda most: "".join(rng.choice("ab é界😀\0") for _ in range(rng.randrange(1, most)))
+    rules = [(rng.randrange(60), word(rng.choice([3, 6, 24])), rng.choice("xyz"), rng.randrange(9)) for _ in range(90)]
+    texts = [(i, "".join(word(9) for _ in range(rng.choice([1, 8, 60]))) + rules[i][1]) for i in range(30)] + [(7, "again a"), (None, "a b"), (31, "")]
+    df, table = spark.createDataFrame(texts, "row_id long, text string"), spark.createDataFrame(rules, RULES)
+    got = patterns.rule_matches(df.repartition(2), table, whole_words=whole, part_bytes=part_bytes, block_chars=block_chars)
+    want = []
+    listed = {(r, p.lower()) for r, p, *_ in rules}
+    for key, text in texts:
+        sums = {}
+        for r, p in listed:
+            if n := places(text, p, whole):
+                sums[r] = sums.get(r, 0) + n
+        want += [(key, r, n) for r, n in sums.items()]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(got.collect()) == order(want)
+
+
+def test_patterns_of_one_hash_are_told_apart(spark):
+    """The hash of these two strings is the same for any base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    table = spark.createDataFrame([(1, one, "x", 0), (2, other, "y", 0)], RULES)
+    df = spark.createDataFrame([(1, "c" + one + "c"), (2, other), (3, one[:-1])], "row_id long, text string")
+    assert sorted(map(tuple, patterns.rule_matches(df, table).collect())) == [(1, 1, 1), (2, 2, 1)]
+
+
+def test_kept_labels_are_those_of_a_join(spark):
+    """All values that a rule is listed with count, also beside an empty pattern; null rules have no label."""
+    rules = spark.createDataFrame([(1, "cell", "b", 2), (1, "", "a", 1), (1, None, "z", 1), (1, "mme", "c", 3), (2, None, "q", 0), (None, "cell", "n", 0)], RULES)
+    df = spark.createDataFrame([(1, "a cell"), (1, "an MME"), (2, "mme cell"), (3, "none"), (None, "cell")], "row_id long, text string")
+    plain, kept = (patterns.rule_matches(df, rules, keep=keep) for keep in ((), ("label", "priority")))
+    assert plain.count() == 7 and kept.count() == 4 * 4 + 3
+    labels = [sorted(map(str, patterns.first_label(df, found, rules).collect())) for found in (plain, kept)]
+    assert labels[0] == labels[1] and sum("label='a'" in x for x in labels[1]) == 3
+
+
+def test_rule_queries_do_not_move_matches(spark, tmp_path):
+    """Matches are counted and labelled where they are found; keys that come twice still count once."""
+    from signalbook.plans import rule_tables
+
+    rng = random.Random(4)
+    texts = ["  " * (i % 2) + " ".join(rng.choice(["Ab", "ba", "cab", "d"]) for _ in range(rng.choice([1, 9, 11, 30]))) + "\n" for i in range(40)]
+    docs = [(i % 37, t) for i, t in enumerate(texts)] + [(None, "ab ba"), (None, "d ab ba"), (50, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(t or "").lower().split() for _, t in docs]
+    rules = {f"{w[i]} {w[i + 1]}" for w in words for i in range(0, 10, 2) if len(w) >= i + 2}
+    coverage = rule_tables.rule_coverage(spark, str(tmp_path))
+    assert {r.rule_id: r.n for r in coverage.collect()} == {x: len({k for k, t in docs if t and x in t.lower()}) for x in rules}
+    labels = rule_tables.rule_labels(spark, str(tmp_path))
+    best = {}
+    for k, t in docs:
+        if k is not None and t:
+            best[k] = min([best.get(k, (0, None)), *[(-len(x), x[0]) for x in rules if x in t.lower()]], key=lambda b: (b[0], b[1] or ""))
+    assert {r.doc_id: r.label for r in labels.collect()} == {k: best.get(k, (0, None))[1] for k, _ in docs}
+    for plan in (x._jdf.queryExecution().sparkPlan().toString() + x._jdf.queryExecution().executedPlan().toString() for x in (coverage, labels)):
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(rule_id" in line and "doc_id" in line]
